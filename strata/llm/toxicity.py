@@ -71,11 +71,9 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     counts = np.zeros((2, BUCKETS), np.float64)
-    own: list[np.ndarray] = []
+    held = lambda text: np.unique(np.concatenate([*grams(text or "")] or [np.zeros(0, np.uint32)]))
     for text, label in zip(texts, y.astype(int), strict=True):
-        u = np.unique(np.concatenate([*grams(text or "")] or [np.zeros(0, np.uint32)]))
-        counts[label, u] += 1
-        own.append(u.astype(np.int32))
+        counts[label, held(text)] += 1
     n0, n1 = float((y == 0).sum()), float((y == 1).sum())
     # 2 x 2 chi-square of a feature's presence against the label.
     a, b = counts[1], counts[0]
@@ -87,8 +85,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     ratio = np.log(((a + ALPHA) / (n1 + 2 * ALPHA)) / ((b + ALPHA) / (n0 + 2 * ALPHA)))
     number = np.full(BUCKETS, -1, np.int32)
     number[kept] = np.arange(len(kept))
-    cols = [number[u] for u in own]
-    cols = [c[c >= 0] for c in cols]
+    # The n-grams are hashed a second time rather than kept: only those with a weight are held for all texts at once.
+    cols = [(c := number[held(t)])[c >= 0] for t in texts]
     rows = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
     col = np.concatenate(cols) if cols else np.zeros(0, np.int32)
     value = ratio[kept][col]
