@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strata.functions.text import fnv1a, tokens
+from strata.functions.text import fnv1a, let, tokens
 
 
 def doubles(v: Column) -> Column:
@@ -23,19 +23,20 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v at length one; a zero vector as it is."""
-    n = norm(v)
-    return F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))
+    return let(v, lambda v: let(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))))
+
+
+def _counted(buckets: Column, dims: int) -> Column:
+    """How many tokens fall into each bucket, at length one."""
+    count = lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(bs, lambda b: b == d)).cast("double"))
+    return unit(let(buckets, count))
 
 
 def hash_embedding(text: Column, dims: int = 64) -> Column:
     """The offline embedding: counts of tokens by FNV-1a bucket, at length one."""
-    buckets = F.transform(tokens(text), lambda t: (fnv1a(t) % dims).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
-    return unit(counts)
+    return _counted(F.transform(tokens(text), lambda t: (fnv1a(t) % dims).cast("int")), dims)
 
 
 def md5_embedding(text: Column, dims: int = 64) -> Column:
     """Like hash_embedding, with a bucket that any SQL engine can compute: the first 32 bits of MD5."""
-    buckets = F.transform(tokens(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dims).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
-    return unit(counts)
+    return _counted(F.transform(tokens(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dims).cast("int")), dims)

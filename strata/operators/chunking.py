@@ -5,22 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.text import estimate_tokens, has_prose, units
-
-STATE = "struct<done: array<string>, held: array<string>, size: int>"
+from strata.functions.text import estimate_tokens, has_prose, let, units
 
 
 def overlap_tail(held: Column, overlap: int) -> Column:
     """The last units whose tokens fit the overlap: at least one, and none for an overlap of nought."""
     if overlap <= 0:
-        return F.array().cast("array<string>")
+        return F.slice(held, 1, 0)
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("size"), F.lit(False).alias("full"))
 
     def step(s: Column, u: Column) -> Column:
         stop = s["full"] | (s["size"] >= overlap) | ((s["size"] + estimate_tokens(u) > overlap) & (F.size(s["out"]) > 0))
-        return F.when(stop, F.struct(s["out"].alias("out"), s["size"].alias("size"), F.lit(True).alias("full"))).otherwise(
-            F.struct(F.concat(F.array(u), s["out"]).alias("out"), (s["size"] + estimate_tokens(u)).alias("size"), F.lit(False).alias("full"))
-        )
+        out, size = F.concat(F.array(u), s["out"]), s["size"] + estimate_tokens(u)
+        return F.struct(F.when(stop, s["out"]).otherwise(out).alias("out"), F.when(stop, s["size"]).otherwise(size).alias("size"), stop.alias("full"))
 
     return F.aggregate(F.reverse(held), start, step, lambda s: s["out"])
 
@@ -35,15 +32,15 @@ def packed(text: Column, target: int = 800, overlap: int | None = 100) -> Column
     none = F.array().cast("array<string>")
 
     def step(s: Column, u: Column) -> Column:
-        size = estimate_tokens(u)
-        tail = overlap_tail(s["held"], overlap)
-        full = (s["size"] + size > target) & (F.size(s["held"]) > 0)
-        return F.when(
-            full, state(F.concat(s["done"], F.array(F.array_join(s["held"], "\n\n"))), F.concat(tail, F.array(u)), total(tail) + size)
-        ).otherwise(state(s["done"], F.concat(s["held"], F.array(u)), s["size"] + size))
+        full = (s["size"] + u["size"] > target) & (F.size(s["held"]) > 0)
+        done = F.when(full, F.concat(s["done"], F.array(F.array_join(s["held"], "\n\n")))).otherwise(s["done"])
+        kept = F.when(full, overlap_tail(s["held"], overlap)).otherwise(s["held"])
+        after = lambda kept: state(done, F.concat(kept, F.array(u["text"])), F.when(full, total(kept)).otherwise(s["size"]) + u["size"])
+        return let(kept, after)
 
     end = lambda s: F.when(F.size(s["held"]) > 0, F.concat(s["done"], F.array(F.array_join(s["held"], "\n\n")))).otherwise(s["done"])
-    return F.aggregate(units(text, target), state(none, none, F.lit(0)), step, end)
+    sized = F.transform(units(text, target), lambda u: F.struct(u.alias("text"), estimate_tokens(u).alias("size")))
+    return F.aggregate(sized, state(none, none, F.lit(0)), step, end)
 
 
 def chunk(docs: DataFrame, target: int = 800, overlap: int | None = 100, least_words: int = 0) -> DataFrame:

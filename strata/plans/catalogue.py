@@ -274,32 +274,18 @@ def word_windows(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE s AS (SELECT doc_id, [x FOR x IN {SENTENCES} IF x <> ''] AS s, text FROM documents),
-    k AS (SELECT doc_id, CASE WHEN len({flds('text')}) * 4 // 3 <= 400 THEN [trim(text, chr(9) || chr(10) || chr(12) || chr(13) || ' ')] ELSE s END AS s FROM s),
-    u AS (SELECT doc_id, unnest(s) AS u, generate_subscripts(s, 1) AS i FROM k),
-    v AS (SELECT doc_id, i, 0 AS j, u, len({flds('u')}) * 4 // 3 AS n FROM u WHERE len({flds('u')}) * 4 // 3 <= 400 UNION ALL
-          SELECT doc_id, i, a, array_to_string(w[a + 1 : a + 300], ' '), len(w[a + 1 : a + 300]) * 4 // 3 FROM (SELECT doc_id, i, {flds('u')} AS w, unnest(range(0, len({flds('u')}), 300)) AS a FROM u WHERE len({flds('u')}) * 4 // 3 > 400)),
-    o AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k FROM v WHERE u <> ''),
-    f AS (SELECT doc_id, k, n AS held, 0 AS chunk FROM o WHERE k = 1 UNION ALL
-          SELECT o.doc_id, o.k, CASE WHEN f.held + o.n > 400 THEN o.n ELSE f.held + o.n END, CASE WHEN f.held + o.n > 400 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1)
-    SELECT doc_id, CAST(chunk AS INTEGER) AS position, CAST(count(*) AS INTEGER) AS units FROM f GROUP BY 1, 2"""
+    f"""WITH s AS (SELECT doc_id, [x FOR x IN {SENTENCES} IF x <> ''] AS s, len({flds('text')}) * 4 // 3 AS n FROM documents),
+    u AS (SELECT doc_id, n, unnest(s) AS u, generate_subscripts(s, 1) AS i FROM s WHERE n > 400), w AS (SELECT doc_id, i, len({flds('u')}) AS w FROM u),
+    v AS (SELECT doc_id, i, 0 AS j, w * 4 // 3 AS n FROM w WHERE w * 4 // 3 <= 400 UNION ALL
+          SELECT doc_id, i, a, least(300, w - a) * 4 // 3 FROM (SELECT doc_id, i, w, unnest(range(0, w, 300)) AS a FROM w WHERE w * 4 // 3 > 400)),
+    l AS (SELECT doc_id, list({{'n': n, 'held': n, 'chunk': 0}} ORDER BY i, j) AS l FROM v GROUP BY doc_id)
+    SELECT doc_id, CAST(CASE WHEN n <= 400 THEN (length(trim(text, chr(9) || chr(10) || chr(12) || chr(13) || ' ')) > 0)::INT
+      ELSE list_reduce(l, lambda a, b: {{'n': b.n, 'held': CASE WHEN a.held + b.n > 400 THEN b.n ELSE a.held + b.n END, 'chunk': CASE WHEN a.held + b.n > 400 THEN a.chunk + 1 ELSE a.chunk END}}).chunk + 1 END AS INTEGER) AS chunks
+    FROM s JOIN documents USING (doc_id) LEFT JOIN l USING (doc_id)"""
 )
 def chunk_pack(spark, sf_dir):
-    """Units packed into chunks of 400 tokens, without overlap: how many units each chunk holds."""
-    docs = read(spark, sf_dir, "documents")
-    marked = F.transform(T.units(F.col("text"), 400), lambda u: F.struct(T.estimate_tokens(u).alias("n"), F.lit(0).alias("chunk")))
-    chunks = F.size(chunking.packed(F.col("text"), 400, None))
-    start = F.struct(F.lit(0).alias("held"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("of"))
-
-    def step(s, u):
-        over = s["held"] + u["n"] > 400
-        opened = over & (F.size(s["of"]) > 0)
-        number = F.when(opened, s["chunk"] + 1).otherwise(s["chunk"])
-        return F.struct(F.when(opened, u["n"]).otherwise(s["held"] + u["n"]).alias("held"), number.alias("chunk"), F.concat(s["of"], F.array(number)).alias("of"))
-
-    of = docs.select("doc_id", chunks.alias("chunks"), F.explode(F.aggregate(marked, start, step, lambda s: s["of"])).alias("position"))
-    # A chunk beyond those that were packed would show as a row of its own.
-    return of.groupBy("doc_id", F.when(F.col("position") < F.col("chunks"), F.col("position")).otherwise(-1).alias("position")).agg(F.count(F.lit(1)).cast("int").alias("units"))
+    """How many chunks of about 400 tokens, without overlap, every document packs into."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(chunking.packed(F.col("text"), 400, None)).alias("chunks"))
 
 
 @query(
@@ -385,7 +371,7 @@ def entity_table(spark, sf_dir):
     return graph.entities_of(none, relations(spark, sf_dir)).select("key", "name", "ord")
 
 
-NAMES = f"""n AS (SELECT DISTINCT {key('p_name')} AS key FROM part UNION SELECT DISTINCT {key("regexp_replace(p_name, '^[^ ]+ ', '')")} FROM part)"""
+NAMES = f"""n AS (SELECT DISTINCT {key('c_name')} AS key FROM customer UNION SELECT DISTINCT {key("regexp_replace(c_name, '^[^#]+#', '')")} FROM customer)"""
 
 
 @query(
@@ -393,10 +379,10 @@ NAMES = f"""n AS (SELECT DISTINCT {key('p_name')} AS key FROM part UNION SELECT
     " WHERE len(string_split(b.key, ' ')) - len(string_split(a.key, ' ')) BETWEEN 1 AND 2) SELECT variant, min(canonical) AS canonical FROM p GROUP BY variant HAVING count(*) = 1"
 )
 def coref_candidates(spark, sf_dir):
-    """Part names without their first word, and the one full name that ends with them."""
-    part = read(spark, sf_dir, "part")
-    short = part.select(T.entity_key(F.regexp_replace("p_name", "^[^ ]+ ", "")).alias("key"))
-    return graph.merge_candidates(part.select(T.entity_key(F.col("p_name")).alias("key")).union(short).distinct())
+    """Customers' numbers, and the one full name that ends with each."""
+    customer = read(spark, sf_dir, "customer")
+    short = customer.select(T.entity_key(F.regexp_replace("c_name", "^[^#]+#", "")).alias("key"))
+    return graph.merge_candidates(customer.select(T.entity_key(F.col("c_name")).alias("key")).union(short).distinct())
 
 
 ASKED = "q AS (SELECT r_regionkey AS query_id, 'Who lives in ' || n.n_name || ' of the ' || r_name || '?' AS text FROM region JOIN (SELECT n_regionkey, min(n_name) AS n_name FROM nation GROUP BY 1) n ON n_regionkey = r_regionkey)"

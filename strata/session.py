@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's executors, once an application; they need no copy of their own."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="strata-code-"), "strata-code.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, str(file.relative_to(package.parent)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
 
 def session(app: str = "strata", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution; master and memory are left to the cluster unless given."""
