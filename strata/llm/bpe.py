@@ -232,6 +232,17 @@ def bpe(docs: DataFrame, tokenizer_file: str | Path, text_col: str = "text", kee
     return done.select(*[F.col("others")[c].alias(c) for c in keep], "n_tokens", "ids", "decoded")
 
 
+def encoder(df: DataFrame, tokenizer_file: str | Path):
+    """For use in tasks of df's session: makes a function from a text to packed ids."""
+    sent = df.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
+
+    def make():
+        model = _loaded(sent.value)
+        return lambda text: model.encode(text)[0]
+
+    return make
+
+
 def unpack(ids: bytes) -> list[int]:
     """The token ids of a packed binary."""
     return array("I", ids).tolist()

@@ -59,9 +59,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     separator = 49_408
-    streams = token_scan.pack(bpe.bpe(docs, tokenizer_file(), keep=["doc_id"]), separator)
     # Summaries and names only, a few bytes a document; encoding and scanning are one pass.
-    found = checkpoint(token_scan.scan(streams, separator))
+    found = checkpoint(token_scan.streamed(docs, separator, bpe.encoder(docs, tokenizer_file())))
     counts = token_scan.stitch(found.where("block is not null").drop("ordinal", "doc"))
     names = found.where("block is null").select("file", "ordinal", F.col("doc").cast("long").alias("doc_id"))
     return counts.join(names, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")

@@ -56,6 +56,21 @@ def count_tokens(blocks: DataFrame, separator: int, width: int = 4) -> DataFrame
 DOCS = "array<struct<ordinal: bigint, start: bigint, n_tokens: bigint>>"
 
 
+SUMMARY = ["size", "ends", "head", "tail", "inner"]
+SUMMARY_SCHEMA = "size long, ends long, head long, tail long, inner array<struct<at: bigint, n: bigint>>"
+
+
+def _summary(number, raw: bytes | None, separator: int, kind: np.dtype) -> tuple:
+    """A block's size, separators, tokens before the first and after the last, and the documents between them."""
+    if pd.isna(number):
+        return (None,) * 5
+    ids = np.frombuffer(raw or b"", kind)
+    at = np.flatnonzero(ids == separator)
+    head, tail = (int(at[0]), len(ids) - int(at[-1]) - 1) if len(at) else (len(ids), len(ids))
+    inner = [{"at": a, "n": n} for a, n in zip((at[:-1] + 1).tolist(), (np.diff(at) - 1).tolist(), strict=True)]
+    return len(ids), len(at), head, tail, inner
+
+
 def scan(blocks: DataFrame, separator: int, width: int = 4) -> DataFrame:
     """A row a block: its size, number of separators, tokens before the first and after the last, and the documents inside. Columns ordinal and doc are passed on, with rows that have no block."""
     kind = WIDTHS[width]
@@ -63,22 +78,13 @@ def scan(blocks: DataFrame, separator: int, width: int = 4) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for number, raw in zip(pdf["block"], pdf["ids"], strict=True):
-                if pd.isna(number):
-                    out.append((None, None, None, None, None))
-                    continue
-                ids = np.frombuffer(raw or b"", kind)
-                at = np.flatnonzero(ids == separator)
-                head, tail = (int(at[0]), len(ids) - int(at[-1]) - 1) if len(at) else (len(ids), len(ids))
-                inner = [{"at": a, "n": n} for a, n in zip((at[:-1] + 1).tolist(), (np.diff(at) - 1).tolist(), strict=True)]
-                out.append((len(ids), len(at), head, tail, inner))
-            found = pd.DataFrame(out, columns=["size", "ends", "head", "tail", "inner"], dtype=object)
+            found = [_summary(n, raw, separator, kind) for n, raw in zip(pdf["block"], pdf["ids"], strict=True)]
+            found = pd.DataFrame(found, columns=SUMMARY, dtype=object)
             yield pd.concat([pdf[["file", "block", *passed]].reset_index(drop=True), found], axis=1)
 
     schema = "file string, block long, " + "".join(f"{c} {dict(blocks.dtypes)[c]}, " for c in passed)
     return blocks.select("file", F.col("block").cast("long").alias("block"), "ids", *passed).mapInPandas(
-        run, schema + "size long, ends long, head long, tail long, inner array<struct<at: bigint, n: bigint>>"
+        run, schema + SUMMARY_SCHEMA
     )
 
 
@@ -113,35 +119,53 @@ def stitch(found: DataFrame) -> DataFrame:
     return stitched.select("file", F.explode(docs).alias("doc")).select("file", "doc.*")
 
 
-def pack(docs: DataFrame, separator: int, id_col: str = "doc_id", ids_col: str = "ids", block: int = BLOCK) -> DataFrame:
-    """docs' packed 32-bit ids as flat streams of full blocks, a stream per partition.
+class Stream:
+    """Documents' packed 32-bit ids as one flat stream of full blocks. Every document ends with the separator; nothing else marks its border."""
+
+    def __init__(self, separator: int, block: int = BLOCK):
+        self.end, self.bytes = np.array([separator], "<u4").tobytes(), block * 4
+        self.held, self.size, self.number = [], 0, 0
+
+    def add(self, ids: bytes) -> list[tuple[int, bytes]]:
+        """The blocks, with their numbers, that the document fills."""
+        self.held += [ids, self.end]
+        self.size += len(ids) + 4
+        return self._cut(self.size // self.bytes) if self.size >= self.bytes else []
 
-    Every document ends with the separator; nothing else marks its border.
-    Rows with a block have file, block, ids; rows without one name the
-    document (doc, as a string) that is at an ordinal of the stream.
+    def close(self) -> list[tuple[int, bytes]]:
+        return self._cut(1) if self.size else []
+
+    def _cut(self, n: int) -> list[tuple[int, bytes]]:
+        flat = b"".join(self.held)
+        out = [(self.number + i, flat[i * self.bytes : (i + 1) * self.bytes]) for i in range(n)]
+        self.number, self.held = self.number + n, [flat[n * self.bytes :]]
+        self.size = len(self.held[0])
+        return out
+
+
+def streamed(docs: DataFrame, separator: int, encoder, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """docs as flat streams, one per partition, scanned as they are written: rows with a block are its summary as of scan(), rows without one name the document (doc, as a string) at an ordinal of the stream.
+
+    encoder: makes, in a task, a function from a text to packed ids. Encoding,
+    packing and scanning share one Python worker, which holds a block at a time.
     """
+    kind = WIDTHS[4]
 
     def run(batches: Iterator) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        file, held, size, number, ordinal = f"stream-{TaskContext.get().partitionId():06d}", [], 0, 0, 0
-        end = np.array([separator], "<u4").tobytes()
+        file, stream, ordinal, encode = f"stream-{TaskContext.get().partitionId():06d}", Stream(separator, block), 0, encoder()
+        frame = lambda rows: pd.DataFrame(rows, columns=["file", "block", "ordinal", "doc", *SUMMARY], dtype=object)
+        told = lambda n, raw: (file, n, None, None, *_summary(n, raw, separator, kind))
         for pdf in batches:
-            names, rows = [], []
-            for doc, raw in zip(pdf["id"], pdf["ids"], strict=True):
-                names.append((file, None, None, ordinal, doc))
+            rows = []
+            for doc, text in zip(pdf["id"], pdf["text"], strict=True):
+                rows.append((file, None, ordinal, doc, *_summary(None, None, separator, kind)))
                 ordinal += 1
-                held += [raw or b"", end]
-                size += len(held[-2]) + 4
-                if size >= block * 4:
-                    flat = b"".join(held)
-                    cut = size // (block * 4)
-                    rows += [(file, number + i, flat[i * block * 4 : (i + 1) * block * 4], None, None) for i in range(cut)]
-                    number, held = number + cut, [flat[cut * block * 4 :]]
-                    size = len(held[0])
-            yield pd.DataFrame(rows + names, columns=["file", "block", "ids", "ordinal", "doc"]).astype({"block": "Int64", "ordinal": "Int64"})
-        if size:
-            yield pd.DataFrame([(file, number, b"".join(held), None, None)], columns=["file", "block", "ids", "ordinal", "doc"]).astype({"block": "Int64", "ordinal": "Int64"})
-
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInPandas(run, "file string, block long, ids binary, ordinal long, doc string")
+                rows += [told(n, raw) for n, raw in stream.add(encode(text))]
+            yield frame(rows)
+        if rest := stream.close():
+            yield frame([told(n, raw) for n, raw in rest])
+
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "file string, block long, ordinal long, doc string, " + SUMMARY_SCHEMA)
