@@ -28,7 +28,7 @@ def unit(v: Column) -> Column:
 
 def _counted(buckets: Column, dims: int) -> Column:
     """How many tokens fall into each bucket, at length one."""
-    count = lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(bs, lambda b: b == d)).cast("double"))
+    count = lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: (F.size(bs) - F.size(F.array_remove(bs, d))).cast("double"))
     return unit(let(buckets, count))
 
 

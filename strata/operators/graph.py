@@ -28,15 +28,15 @@ def edges_of(relations: DataFrame) -> DataFrame:
 
 
 def entities_of(entities: DataFrame, relations: DataFrame | None = None) -> DataFrame:
-    """Entities of stated names (name, type, ord) and of relations' endpoints, which carry no type; the first form seen stays."""
-    named = entities.select("name", "type", "ord")
+    """Entities of stated names (name, type, ord) and of relations' endpoints, which carry no type; the first form seen stays, of equals a stated name."""
+    named = entities.select("name", "type", "ord", F.lit(0).alias("end"))
     if relations is not None:
         good = relations.where(~is_enumeration(F.col("from")) & ~is_enumeration(F.col("to")) & (trimmed(F.col("relation")) != "") & (entity_key(F.col("from")) != entity_key(F.col("to"))))
         good = good.where((entity_key(F.col("from")) != "") & (entity_key(F.col("to")) != ""))
-        ends = good.select(F.explode(F.array("from", "to")).alias("name"), F.lit("").alias("type"), "ord")
+        ends = good.select(F.explode(F.array("from", "to")).alias("name"), F.lit("").alias("type"), "ord", F.lit(1).alias("end"))
         named = named.unionByName(ends)
-    keyed = named.where(~is_enumeration(F.col("name"))).select(entity_key(F.col("name")).alias("key"), trimmed(F.col("name")).alias("name"), "type", "ord").where("key <> ''")
-    first = F.min_by(F.struct("name", "type"), F.struct("ord", "name", "type")).alias("first")
+    keyed = named.where(~is_enumeration(F.col("name"))).select(entity_key(F.col("name")).alias("key"), trimmed(F.col("name")).alias("name"), "type", "ord", "end").where("key <> ''")
+    first = F.min_by(F.struct("name", "type"), F.struct("ord", "end", "name", "type")).alias("first")
     return keyed.groupBy("key").agg(first, F.min("ord").alias("ord")).select("key", "first.name", "first.type", "ord")
 
 
