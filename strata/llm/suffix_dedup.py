@@ -141,7 +141,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         if out:
             yield pd.DataFrame(out, columns=["seed", "doc", "first", "windows"])
 
-    placed = rows.mapInPandas(contexts, "seed long, doc long, first int, windows binary")
+    # Written once: sampling for splitters would read and hash the texts another time.
+    placed = checkpoint(rows.mapInPandas(contexts, "seed long, doc long, first int, windows binary"))
     placed = placed.repartitionByRange(shuffle_partitions(spark), "seed", "doc").sortWithinPartitions("seed", "doc", "first")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
