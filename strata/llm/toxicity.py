@@ -29,6 +29,8 @@ FEATURES = 30_000
 ALPHA, RIDGE, STEPS = 1.0, 1e-3, 200
 #: Characters that are hashed at a time; a longer text is cut into overlapping spans, whose n-grams are then united.
 SPAN = 1 << 20
+#: Features of the sample that one step of the fit turns into numbers at a time.
+BLOCK = 1 << 18
 
 
 def grams(text: str, sizes: tuple[int, ...] = NGRAMS) -> Iterator[np.ndarray]:
@@ -85,23 +87,35 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     ratio = np.log(((a + ALPHA) / (n1 + 2 * ALPHA)) / ((b + ALPHA) / (n0 + 2 * ALPHA)))
     number = np.full(BUCKETS, -1, np.int32)
     number[kept] = np.arange(len(kept))
-    # The n-grams are hashed a second time rather than kept: only those with a weight are held for all texts at once.
+    # The n-grams are hashed a second time rather than kept: only those with a weight are held for all texts at once,
+    # four bytes each. A feature's value is its ratio, so neither values nor row numbers are stored beside it.
     cols = [(c := number[held(t)])[c >= 0] for t in texts]
-    rows = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    col = np.concatenate(cols) if cols else np.zeros(0, np.int32)
-    value = ratio[kept][col]
+    blocks, at = [], 0
+    while at < len(cols):
+        end, size = at, 0
+        while end < len(cols) and (end == at or size + len(cols[end]) <= BLOCK):
+            size, end = size + len(cols[end]), end + 1
+        blocks.append((at, np.array([len(c) for c in cols[at:end]]), np.concatenate(cols[at:end])))
+        cols[at:end] = [c[:0] for c in cols[at:end]]
+        at = end
+    ratio = ratio[kept]
     balance = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0))
     w, bias = np.zeros(len(kept)), 0.0
-    m, v, t = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), 0
+    m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for t in range(1, STEPS + 1):  # Adam on the whole sample, in a fixed order: refits agree
-        z = np.bincount(rows, value * w[col], len(y)) + bias
-        error = balance * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
-        grad = np.append(np.bincount(col, value * error[rows], len(kept)) + RIDGE * w / len(y), error.sum())
+        grad, wr = np.zeros(len(kept) + 1), w * ratio
+        for at, lengths, col in blocks:
+            own = slice(at, at + len(lengths))
+            z = np.bincount(np.repeat(np.arange(len(lengths)), lengths), wr[col], len(lengths)) + bias
+            error = balance[own] * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[own]) / len(y)
+            grad[:-1] += np.bincount(col, np.repeat(error, lengths), len(kept))
+            grad[-1] += error.sum()
+        grad[:-1] = grad[:-1] * ratio + RIDGE * w / len(y)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - float(step[-1])
     weight = np.zeros(BUCKETS, np.float32)
-    weight[kept] = w * ratio[kept]
+    weight[kept] = w * ratio
     return Model(weight, bias)
 
 
