@@ -129,9 +129,9 @@ def _fit(spark, rows: DataFrame, want: dict[int, int]) -> dict[int, list[tuple[i
         while any(open_.values()):
             state = [(p, base[p], min(width[p], 2**63 - 1), most[p], room[p]) for p in open_ if open_[p]]
             plan = F.broadcast(spark.createDataFrame(state, "pattern int, base long, width long, most long, room long"))
-            # A bin's number, without overflow: hashes and bases differ by up to 2**64.
+            # A bin's number, without overflow: hashes and bases differ by up to 2**64, and narrow bins leave most hashes far beyond the last.
             gap = F.col("hash").cast("decimal(20,0)") - F.col("base").cast("decimal(20,0)")
-            number = F.floor(gap / F.col("width").cast("decimal(20,0)")).cast("int")
+            number = F.least(F.floor(gap / F.col("width").cast("decimal(20,0)")), F.lit(BINS)).cast("int")
             sums = (
                 rows.join(plan, "pattern")
                 .where((F.col("size") > 0) & (F.col("size") <= F.col("most")) & (F.col("hash") >= F.col("base")))

@@ -199,6 +199,14 @@ def test_mixing(spark, docs):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
 
 
+def test_fit_narrows_to_single_hashes(spark):
+    """Neighbouring hashes share a bin until its width is 1, with other hashes up to 2**64 away."""
+    hashes = [-(2**63), 1 - 2**63, 2 - 2**63, 0, 2**62, 2**63 - 1]
+    rows = spark.createDataFrame([(0, h, 5) for h in hashes], "pattern int, hash long, size long")
+    spans = mixing._fit(spark, rows, {0: 12})[0]
+    assert sum(any(a <= h < b and 5 <= most for a, b, most in spans) for h in hashes) == 2
+
+
 def test_mixing_overlapping_sources(spark):
     rng = random.Random(9)
     rows = [(i, words(rng, 10), rng.choice([["a"], ["a", "b"], ["b"], None])) for i in range(400)]
