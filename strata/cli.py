@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from strata.loop import Loop, Memory, structured_retriever
+from strata.loop import Loop, Memory, model_router, reranked, structured_retriever
 from strata.operators import graph, index
 from strata.operators.evidence import recall, scored, totals
 from strata.operators.router import accuracy
@@ -45,6 +45,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--remember", default="")
     p.add_argument("--max-hops", type=int, default=graph.MAX_HOPS)
     p.add_argument("--sql-dir", default="")
+    p.add_argument("--graph", default="", help="folder of a saved entity graph")
+    p.add_argument("--llm-router", action="store_true")
+    p.add_argument("--rerank", action="store_true")
     p = sub.add_parser("eval")
     p.add_argument("what", choices=["routing", "answers", "retrieval"])
     p.add_argument("--cases", default="")
@@ -58,7 +61,11 @@ def parser() -> argparse.ArgumentParser:
 
 def retrievers(spark, args, llm):
     chunks = index.load(spark, args.index)
-    out = {"semantic": lambda q, k: index.semantic(chunks, q, k)}
+    semantic = lambda q, k: index.semantic(chunks, q, k)
+    out = {"semantic": reranked(spark, semantic, llm) if getattr(args, "rerank", False) else semantic}
+    if getattr(args, "graph", ""):
+        entities, edges, excerpts, aliases = graph.load(spark, args.graph)
+        out["relational"] = lambda q, k: graph.retrieve(entities, edges, excerpts, q, k, args.max_hops, aliases)
     if args.sql_dir:
         out["structured"] = structured_retriever(spark, load_csv_folder(spark, args.sql_dir), llm)
     return out
@@ -85,7 +92,8 @@ def main(argv: list[str] | None = None) -> int:
                     print(f"[{r['tier']}:{r['source_id']}] {r['score']:.4f} {r['text'][:120]}")
             return 0
         memory = Memory.load(spark, args.remember) if args.remember else None
-        answer = Loop(spark, found, llm, memory=memory, steps=args.max_steps, k=args.k, write_back=memory is not None).run(args.question)
+        router = model_router(spark, llm) if args.llm_router else None
+        answer = Loop(spark, found, llm, router, memory, steps=args.max_steps, k=args.k, write_back=memory is not None).run(args.question)
         print(answer.text)
         if args.trace:
             print(answer.trace.render())

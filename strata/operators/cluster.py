@@ -14,6 +14,12 @@ def _points(vectors: DataFrame, ord_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(ord_col).cast("long").alias("ord"), doubles(F.col(vector_col)).alias("v"))
 
 
+def _beside(points: DataFrame, centroids: list[list[float]]) -> DataFrame:
+    """points with all centroids in a column c: one broadcast row, so the plan stays small however many there are."""
+    table = points.sparkSession.createDataFrame([(centroids,)], "c array<array<double>>")
+    return points.crossJoin(F.broadcast(table))
+
+
 def first_centroids(vectors: DataFrame, k: int, ord_col: str = "ord", vector_col: str = "vector") -> list[list[float]]:
     """k vectors: that of least ord, then again and again the one least similar to those chosen; ties to the least ord.
 
@@ -24,17 +30,16 @@ def first_centroids(vectors: DataFrame, k: int, ord_col: str = "ord", vector_col
     head = points.orderBy("ord").limit(1).collect()
     chosen = [head[0]["v"]] if head else []
     while chosen and len(chosen) < k:
-        near = F.greatest(*(dot(F.col("v"), F.array(*map(F.lit, c))) for c in chosen)) if len(chosen) > 1 else dot(F.col("v"), F.array(*map(F.lit, chosen[0])))
-        row = points.select("ord", "v", near.alias("near")).agg(F.min_by("v", F.struct("near", "ord")).alias("v")).collect()[0]
+        near = F.array_max(F.transform("c", lambda c: dot(F.col("v"), c)))
+        row = _beside(points, chosen).select("ord", "v", near.alias("near")).agg(F.min_by("v", F.struct("near", "ord")).alias("v")).collect()[0]
         chosen.append(row["v"])
     return chosen
 
 
 def assign(vectors: DataFrame, centroids: list[list[float]], ord_col: str = "ord", vector_col: str = "vector") -> DataFrame:
     """ord, v, cluster: the most similar centroid, the lowest number of equals."""
-    points = _points(vectors, ord_col, vector_col)
-    table = F.array(*(F.array(*map(F.lit, c)) for c in centroids))
-    scored = F.transform(table, lambda c, i: F.struct(dot(F.col("v"), c).alias("s"), (-i).alias("i")))
+    points = _beside(_points(vectors, ord_col, vector_col), centroids)
+    scored = F.transform("c", lambda c, i: F.struct(dot(F.col("v"), c).alias("s"), (-i).alias("i")))
     return points.select("ord", "v", (-F.array_max(scored)["i"]).cast("int").alias("cluster"))
 
 

@@ -5,7 +5,7 @@ entities: key, name, type, ord. edges: src, dst, relation, chunk_id, ord.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions.text import entity_key, is_enumeration, trimmed
@@ -147,6 +147,20 @@ def rendered(hits: DataFrame, entities: DataFrame) -> DataFrame:
     return hits.join(a, "src", "left").join(b, "dst", "left").withColumn("path", path).drop("_a", "_b")
 
 
+TABLES = ("entities", "edges", "excerpts", "aliases")
+
+
+def save(path: str, *tables: DataFrame) -> None:
+    """Entities, edges, excerpts (chunk_id, text) and aliases, in that order, as Parquet below path, which holds no graph yet."""
+    for name, table in zip(TABLES, tables, strict=True):
+        table.write.parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, ...]:
+    """The saved entities, edges, excerpts and aliases."""
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in TABLES)
+
+
 def retrieve(entities: DataFrame, edges: DataFrame, excerpts: DataFrame, queries: DataFrame, k: int = 5, max_hops: int = MAX_HOPS, aliases: DataFrame | None = None) -> DataFrame:
     """Evidence of the relational tier: the relations found, then the excerpt of their chunk."""
     hits = rendered(traverse(edges, seeds(entities, queries, aliases), max_hops), entities)
