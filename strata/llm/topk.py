@@ -83,6 +83,7 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
     kth = floor.astype(np.float64)
     best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held = np.zeros((3, 0), object if kind is object else np.int64)
+    lowest = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
 
     def settle() -> None:
         nonlocal held
@@ -113,9 +114,11 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
             for some in np.array_split(active, -(-len(active) // 512)):
                 scores = asked[some] @ exact[part].T
                 least = kth[some]
-                if scores.shape[1] > k + 1 and kind is not object:  # one more than k, as the query itself may be among them
-                    least = np.maximum(least, np.partition(scores, -k - 1, axis=1)[:, -k - 1])
-                r, c = np.nonzero((scores >= least[:, None]) & (ids[part][None, :] != query_ids[some][:, None]))
+                own = ids[part][None, :] == query_ids[some][:, None]
+                if scores.shape[1] > k and kind is not object:
+                    scores[own] = lowest  # however often the query's id stands here, it takes no place
+                    least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+                r, c = np.nonzero((scores >= least[:, None]) & ~own)
                 best.append((some[r], ids[part][c], scores[r, c].astype(held.dtype)))
                 settle()
 

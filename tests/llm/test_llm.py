@@ -385,6 +385,19 @@ def test_topk(spark, shard):
     assert [r["rank"] for r in sorted(two)] == [1, 2]
 
 
+@pytest.mark.parametrize("scale", [1, 1 << 22])
+@pytest.mark.parametrize("copies", [2, 10])
+def test_topk_of_a_query_id_that_repeats(copies, scale):
+    rng = np.random.default_rng(copies)
+    ids = np.r_[np.zeros(copies, np.int64), np.arange(1, 257 - copies)]
+    rows = rng.integers(-90, 90, (256, 8)) * scale
+    rows[:copies] = 100 * scale
+    q, i, s = topk.search(ids, rows, np.array([0, 300]), rows[[0, 20]], np.full(2, -np.inf), 5)
+    for n, (own, asked) in enumerate([(0, rows[0]), (300, rows[20])]):
+        want = sorted((-int(a @ asked), int(x)) for x, a in zip(ids, rows, strict=True) if x != own)[:5]
+        assert [(-int(b), int(a)) for a, b in zip(i[q == n], s[q == n], strict=True)] == want
+
+
 def test_oracles(spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
