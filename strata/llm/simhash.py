@@ -274,14 +274,24 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs whose identifier is the smallest of their component, with all their columns.
 
     Rows that repeat that identifier are one document given more than once and
     all stay; a row with a null identifier stays only where its component has
-    no other. Texts are joined to the verdicts by identifier and fingerprint.
+    no other. Texts are joined to the verdicts by identifier and fingerprint,
+    which is computed again for that, so the verdict on one text never falls
+    on another text of the same identifier.
     """
+    k = options.get("k", SHINGLE)
+
+    @F.pandas_udf("long")
+    def printed(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, k) for t in texts], dtype=np.uint64).view(np.int64))
+
     groups = simhash_groups(docs, id_col, text_col, **options)
-    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_strata_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone["_strata_gone"]), "left_anti")
+    lost = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id")))
+    gone = lost.select(F.col(id_col).alias("_strata_gone"), F.col("fingerprint").alias("_strata_lost")).distinct()
+    marked = docs.withColumn("_strata_print", F.lpad(F.lower(F.hex(printed(F.col(text_col)))), 16, "0"))
+    same = marked[id_col].eqNullSafe(gone["_strata_gone"]) & (marked["_strata_print"] == gone["_strata_lost"])
+    return marked.join(gone.hint("merge"), same, "left_anti").drop("_strata_print")

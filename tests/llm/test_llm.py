@@ -101,6 +101,15 @@ def test_simhash(spark, docs):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {w[2] for w in want}
 
 
+def test_drop_near_judges_each_text_of_an_identifier(spark):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 200, 5000) for _ in range(4))
+    # Null is a copy of 1 and alone on b; 5 is alone on c and a copy of 2.
+    rows = [(1, a), (None, a), (None, b), (5, c), (2, d), (5, d), (7, None)]
+    kept = simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, a), (None, b), (5, c), (2, d), (7, None)])
+
+
 @pytest.mark.parametrize(("blocks", "cap"), [(5, 4096), (3, 4096), (2, 40), (5, 25), (1, 4096)])
 def test_links_are_complete(spark, blocks, cap):
     rng = np.random.default_rng(5)
