@@ -11,7 +11,8 @@ Repeats are not held against blocks that markup names main text: mirrored
 articles and passages that many pages share would lose their text by it.
 
 A host's pages are dealt to shards of about SHARD pages by a hash of the page,
-so the most frequent host is no larger a task than others.
+so the most frequent host is no larger a task than others. What its shards
+find is counted over the whole host before any of them removes it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.common import checkpoint
 from strata.llm.simhash import whole_groups
 
 SHARD, MIN_TOKENS, MIN_PAGES = 1024, 5, 3
@@ -143,18 +145,11 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
     return out
 
 
-def repeated(streams: np.ndarray, pages: np.ndarray, runs: np.ndarray, least: int = MIN_TOKENS, on_pages: int = MIN_PAGES) -> np.ndarray:
-    """Of concatenated token streams, which tokens lie in a substring of ``least`` or more tokens found on ``on_pages`` distinct pages.
-
-    streams: token numbers; pages and runs: the page and the block of each
-    token. Suffixes are ranked by their first 1, 2, 4, ... tokens; those equal
-    in the first ``least`` share a rank and stand together in suffix order. No
-    substring crosses from one block to the next.
-    """
+def _starts(streams: np.ndarray, runs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where it starts, rank) of every substring of ``least`` tokens that stays in its block. Equal substrings share a rank."""
     n = len(streams)
-    covered = np.zeros(n + 1, np.int64)
     if n < least:
-        return covered[:n].astype(bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rank, width = np.unique(streams, return_inverse=True)[1].astype(np.int64), 1
     while width < least:
         step = min(width, least - width)
@@ -162,45 +157,98 @@ def repeated(streams: np.ndarray, pages: np.ndarray, runs: np.ndarray, least: in
         after[: n - step] = rank[step:]
         rank, width = np.unique(rank * (n + 2) + after + 1, return_inverse=True)[1].astype(np.int64), width + step
     start = np.flatnonzero(runs[: n - least + 1] == runs[least - 1 :])
-    pairs = np.unique(np.stack([rank[start], pages[start]]), axis=1)
-    spread = np.bincount(pairs[0], minlength=int(rank.max()) + 1)
-    start = start[spread[rank[start]] >= on_pages]
+    return start, rank[start]
+
+
+def _covered(n: int, start: np.ndarray, least: int) -> np.ndarray:
+    covered = np.zeros(n + 1, np.int64)
     np.add.at(covered, start, 1)
     np.add.at(covered, start + least, -1)
     return np.cumsum(covered)[:n] > 0
 
 
-def main_texts(pages: list[list[tuple[str, int]]], least: int = MIN_TOKENS, on_pages: int = MIN_PAGES) -> list[str]:
-    """The main text of each of a host's pages, given their blocks."""
-    marked = [any(v == MAIN for _, v in p) for p in pages]
-    undecided = [not m and any(v == OPEN for _, v in p) for m, p in zip(marked, pages, strict=True)]
-    kept: dict[tuple[int, int], str] = {}
-    if any(undecided):
+def _often(rank: np.ndarray, pages: np.ndarray, on_pages: int) -> np.ndarray:
+    """Which substrings have a rank that stands on ``on_pages`` distinct pages."""
+    if not len(rank):
+        return np.zeros(0, bool)
+    pairs = np.unique(np.stack([rank, pages]), axis=1)
+    return np.bincount(pairs[0], minlength=int(rank.max()) + 1)[rank] >= on_pages
+
+
+def repeated(streams: np.ndarray, pages: np.ndarray, runs: np.ndarray, least: int = MIN_TOKENS, on_pages: int = MIN_PAGES) -> np.ndarray:
+    """Of concatenated token streams, which tokens lie in a substring of ``least`` or more tokens found on ``on_pages`` distinct pages.
+
+    streams: token numbers; pages and runs: the page and the block of each
+    token. Suffixes are ranked by their first 1, 2, 4, ... tokens; those equal
+    in the first ``least`` share a rank and stand together in suffix order. No
+    substring crosses from one block to the next.
+    """
+    start, rank = _starts(streams, runs, least)
+    return _covered(len(streams), start[_often(rank, pages[start], on_pages)], least)
+
+
+def undecided(page: list[tuple[str, int]]) -> bool:
+    """Whether markup names no main text and leaves a block open."""
+    return not any(v == MAIN for _, v in page) and any(v == OPEN for _, v in page)
+
+
+class Streams:
+    """The token streams of pages' blocks outside main text, and their substrings of ``least`` tokens."""
+
+    def __init__(self, pages: list[list[tuple[str, int]]], least: int = MIN_TOKENS):
+        self.pages, self.least = pages, least
+        self.place: list[tuple[int, int, int, int]] = []
         number: dict[str, int] = {}
-        stream, owner, run, place = [], [], [], []
+        stream, owner, run, blocks_seen = [], [], [], 0
         for i, p in enumerate(pages):
+            open_page = undecided(p)
             for j, (text, verdict) in enumerate(p):
                 if verdict == MAIN:
                     continue
                 words = text.split(" ")
-                if verdict == OPEN and undecided[i]:
-                    place.append((i, j, len(stream), words))
+                if verdict == OPEN and open_page:
+                    self.place.append((i, j, len(stream), len(words)))
                 # A block that is too short for a substring is filled up, and thus compared whole.
                 fill = max(0, least - len(words))
                 stream += [number.setdefault(w, len(number) + 1) for w in words] + [0] * fill
                 owner += [i] * (len(words) + fill)
-                run += [len(run)] * (len(words) + fill)
-        flags = repeated(np.array(stream, np.int64), np.array(owner, np.int64), np.array(run, np.int64), least, on_pages)
-        for i, j, at, words in place:
-            kept[i, j] = " ".join(w for w, covered in zip(words, flags[at : at + len(words)].tolist(), strict=True) if not covered)
-    out = []
-    for i, p in enumerate(pages):
-        if marked[i]:
-            found = [t for t, v in p if v == MAIN]
-        else:
-            found = [kept[i, j] for j, (_, v) in enumerate(p) if v == OPEN and kept.get((i, j))]
-        out.append("\n\n".join(found))
-    return out
+                run += [blocks_seen] * (len(words) + fill)
+                blocks_seen += 1
+        self.words = ["", *number]
+        self.stream, self.owner = np.array(stream, np.int64), np.array(owner, np.int64)
+        self.start, self.rank = _starts(self.stream, np.array(run, np.int64), least)
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of its words, which of them it is for each substring) of the distinct substrings."""
+        from xxhash import xxh64_intdigest
+
+        _, first, which = np.unique(self.rank, return_index=True, return_inverse=True)
+        text = (" ".join(self.words[t] for t in self.stream[a : a + self.least].tolist()) for a in self.start[first].tolist())
+        return np.array([xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in text], np.uint64).view(np.int64), which
+
+    def texts(self, often: np.ndarray) -> list[str]:
+        """The main text of each page; often: which substrings count as boilerplate."""
+        flags = _covered(len(self.stream), self.start[often], self.least)
+        kept: dict[tuple[int, int], str] = {}
+        for i, j, at, n in self.place:
+            words = self.pages[i][j][0].split(" ")
+            kept[i, j] = " ".join(w for w, covered in zip(words, flags[at : at + n].tolist(), strict=True) if not covered)
+        out = []
+        for i, p in enumerate(self.pages):
+            if any(v == MAIN for _, v in p):
+                found = [t for t, v in p if v == MAIN]
+            else:
+                found = [kept[i, j] for j, (_, v) in enumerate(p) if v == OPEN and kept.get((i, j))]
+            out.append("\n\n".join(found))
+        return out
+
+
+def main_texts(pages: list[list[tuple[str, int]]], least: int = MIN_TOKENS, on_pages: int = MIN_PAGES) -> list[str]:
+    """The main text of each of a host's pages, given their blocks."""
+    if not any(map(undecided, pages)):
+        return ["\n\n".join(t for t, v in p if v == MAIN) for p in pages]
+    s = Streams(pages, least)
+    return s.texts(_often(s.rank, s.owner[s.start], on_pages))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -222,15 +270,47 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         "page_id", "url", "html", "host", F.when(F.col("shards").isNull(), 0).otherwise(F.pmod(page, "shards")).cast("int").alias("shard")
     )
     kind = dict(dealt.dtypes)["page_id"]
-    placed = dealt.repartition("host", "shard").sortWithinPartitions("host", "shard", "page_id", "url")
+    dealt = dealt.withColumn("page_id", F.col("page_id").cast("string"))
+    out = "page_id string, url string, text string, n_chars long"
+
+    def told(pdf: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": np.array([len(t) for t in texts], np.int64)})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ["host", "shard"], least=256):
             texts: list[str] = []
             for _, group in pdf.groupby(["host", "shard"], sort=False):
                 texts += main_texts([blocks(h) for h in group["html"]])
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": np.array([len(t) for t in texts], np.int64)})
+            yield told(pdf, texts)
 
-    return placed.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(run, "page_id string, url string, text string, n_chars long").withColumn(
-        "page_id", F.col("page_id").cast(kind)
-    )
+    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"host": pdf["host"][[undecided(blocks(h)) for h in pdf["html"]]].unique()})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, ["host", "shard"], least=256):
+            for (name, shard), group in pdf.groupby(["host", "shard"], sort=False):
+                s = Streams([blocks(h) for h in group["html"]])
+                hashed, which = s.hashes()
+                pairs = np.unique(np.stack([which, s.owner[s.start]]), axis=1)
+                yield pd.DataFrame({"host": name, "shard": shard, "run": hashed, "n": np.bincount(pairs[0], minlength=len(hashed))})
+
+    def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        s = Streams([blocks(h) for h in left["html"]])
+        hashed, which = s.hashes()
+        return told(left, s.texts(np.isin(hashed, right["run"].to_numpy(np.int64))[which]))
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.repartition("host", "shard").sortWithinPartitions("host", "shard", "page_id", "url")
+
+    # A host in one shard is counted there. Of those in several, the ones with a page that needs counts are counted over all of their shards.
+    asked = checkpoint(dealt.join(F.broadcast(large), "host", "left_semi").select("host", "html").mapInPandas(asking, "host string").distinct())
+    if asked.isEmpty():
+        return grouped(dealt).mapInPandas(whole, out).withColumn("page_id", F.col("page_id").cast(kind))
+    spread = dealt.join(F.broadcast(asked), "host", "left_semi")
+    counted = checkpoint(grouped(spread).mapInPandas(count, "host string, shard int, run long, n long"))
+    often = counted.groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_PAGES).select("host", "run")
+    found = counted.select("host", "shard", "run").join(often.hint("merge"), ["host", "run"])
+    mended = spread.groupBy("host", "shard").cogroup(found.groupBy("host", "shard")).applyInPandas(lambda a, b: cut(a, b), out)
+    rest = grouped(dealt.join(F.broadcast(asked), "host", "left_anti")).mapInPandas(whole, out)
+    return rest.union(mended).withColumn("page_id", F.col("page_id").cast(kind))

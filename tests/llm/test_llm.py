@@ -310,6 +310,15 @@ def test_html_table(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_counts_over_all_shards_of_a_host(spark, monkeypatch):
+    monkeypatch.setattr(html, "SHARD", 4)
+    notice = "<div>please accept the terms of this fine site before reading any further page of it or leave now for good</div>"
+    story = lambda i: " ".join(f"s{i}x{n}" for n in range(30))
+    rows = [(i, f"http://big.org/{i}", f"<body>{notice if i % 8 == 0 else ''}<div>{story(i)}</div></body>") for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: story(i) for i in range(40)}
+
+
 def test_token_scan(spark):
     rng = random.Random(4)
     for block in (4, 7, 64):
