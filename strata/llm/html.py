@@ -4,8 +4,11 @@ A page is read once into blocks. A block inside ``article`` or ``main`` is main
 text, one inside a menu, footer, advert, form and the like is not. For blocks
 that markup leaves open, the token streams of a host's pages are concatenated
 and ranked by prefix doubling, as a suffix array
-is built; substrings of MIN_TOKENS or more that stand on MIN_PAGES distinct
-pages are boilerplate, and only the runs they don't cover are kept.
+is built; substrings of MIN_TOKENS or more, and shorter blocks as a whole, that
+stand on MIN_PAGES distinct pages and a SHARE of the host's are boilerplate. A
+block that they cover by more than half is left out, any other kept whole.
+Pages with the same text are one page for that, so copies of an article are no
+evidence against it.
 
 Repeats are not held against blocks that markup names main text: mirrored
 articles and passages that many pages share would lose their text by it.
@@ -17,6 +20,7 @@ find is counted over the whole host before any of them removes it.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -25,11 +29,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from strata.llm.common import checkpoint
 from strata.llm.simhash import whole_groups
 
-SHARD, MIN_TOKENS, MIN_PAGES = 1024, 5, 3
+SHARD, MIN_TOKENS, MIN_PAGES = 1024, 20, 3
+#: Boilerplate stands on this share of a host's pages at least, and on MIN_PAGES.
+SHARE = 0.05
 #: At most so many hosts are dealt to shards of their own, which bounds what is broadcast.
 LARGE_HOSTS = 50_000
 
@@ -187,11 +194,22 @@ def repeated(streams: np.ndarray, pages: np.ndarray, runs: np.ndarray, least: in
     return _covered(len(streams), start[_often(rank, pages[start], on_pages)], least)
 
 
+def _least_pages(pages, on_pages: int = MIN_PAGES, share: float = SHARE) -> int:
+    """On how many of so many distinct pages of a host a substring is boilerplate."""
+    return max(on_pages, math.ceil(share * pages))
+
+
 def undecided(page: list[tuple[str, int]]) -> bool:
     """Whether markup names no main text and leaves a block open."""
     return not any(v == MAIN for _, v in page) and any(v == OPEN for _, v in page)
 
 
+def _content(page: list[tuple[str, int]]) -> int:
+    """A hash of what the page says: its main text, else its open blocks, else whatever it has."""
+    least = MAIN if any(v == MAIN for _, v in page) else OPEN if any(v == OPEN for _, v in page) else OTHER
+    return xxh64_intdigest("\n".join(t for t, v in page if v == least).encode("utf-8", "surrogatepass")) - 2**63
+
+
 class Streams:
     """The token streams of pages' blocks outside main text, and their substrings of ``least`` tokens."""
 
@@ -215,13 +233,13 @@ class Streams:
                 run += [blocks_seen] * (len(words) + fill)
                 blocks_seen += 1
         self.words = ["", *number]
-        self.stream, self.owner = np.array(stream, np.int64), np.array(owner, np.int64)
+        #: Each page's content, and each token's.
+        self.content = np.array([_content(p) for p in pages], np.int64)
+        self.stream, self.said = np.array(stream, np.int64), self.content[np.array(owner, np.int64)]
         self.start, self.rank = _starts(self.stream, np.array(run, np.int64), least)
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """(hash of its words, which of them it is for each substring) of the distinct substrings."""
-        from xxhash import xxh64_intdigest
-
         _, first, which = np.unique(self.rank, return_index=True, return_inverse=True)
         text = (" ".join(self.words[t] for t in self.stream[a : a + self.least].tolist()) for a in self.start[first].tolist())
         return np.array([xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in text], np.uint64).view(np.int64), which
@@ -231,8 +249,8 @@ class Streams:
         flags = _covered(len(self.stream), self.start[often], self.least)
         kept: dict[tuple[int, int], str] = {}
         for i, j, at, n in self.place:
-            words = self.pages[i][j][0].split(" ")
-            kept[i, j] = " ".join(w for w, covered in zip(words, flags[at : at + n].tolist(), strict=True) if not covered)
+            if 2 * int(flags[at : at + n].sum()) <= n:
+                kept[i, j] = self.pages[i][j][0]
         out = []
         for i, p in enumerate(self.pages):
             if any(v == MAIN for _, v in p):
@@ -243,12 +261,12 @@ class Streams:
         return out
 
 
-def main_texts(pages: list[list[tuple[str, int]]], least: int = MIN_TOKENS, on_pages: int = MIN_PAGES) -> list[str]:
+def main_texts(pages: list[list[tuple[str, int]]], least: int = MIN_TOKENS, on_pages: int = MIN_PAGES, share: float = SHARE) -> list[str]:
     """The main text of each of a host's pages, given their blocks."""
     if not any(map(undecided, pages)):
         return ["\n\n".join(t for t, v in p if v == MAIN) for p in pages]
     s = Streams(pages, least)
-    return s.texts(_often(s.rank, s.owner[s.start], on_pages))
+    return s.texts(_often(s.rank, s.said[s.start], _least_pages(len(np.unique(s.content)), on_pages, share)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -256,7 +274,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty html give an empty text; a null url counts as one host.
     Blocks are joined by blank lines; nothing is cut short. Repeated rows each
-    get a row, and count as distinct pages. Other columns aren't read. An empty
+    get a row, and count as one page. Other columns aren't read. An empty
     table gives an empty result.
     """
     host = F.lower(F.coalesce(F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
@@ -292,8 +310,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for (name, shard), group in pdf.groupby(["host", "shard"], sort=False):
                 s = Streams([blocks(h) for h in group["html"]])
                 hashed, which = s.hashes()
-                pairs = np.unique(np.stack([which, s.owner[s.start]]), axis=1)
-                yield pd.DataFrame({"host": name, "shard": shard, "run": hashed, "n": np.bincount(pairs[0], minlength=len(hashed))})
+                pairs = np.unique(np.stack([which, s.said[s.start]]), axis=1)
+                pages = np.split(pairs[1], np.flatnonzero(np.diff(pairs[0])) + 1) if len(hashed) else []
+                # The row without a run has all the shard's pages.
+                runs = pd.array([None, *hashed.tolist()], dtype="Int64")
+                yield pd.DataFrame({"host": name, "shard": shard, "run": runs, "pages": [np.unique(s.content), *pages]})
 
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         s = Streams([blocks(h) for h in left["html"]])
@@ -308,8 +329,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     if asked.isEmpty():
         return grouped(dealt).mapInPandas(whole, out).withColumn("page_id", F.col("page_id").cast(kind))
     spread = dealt.join(F.broadcast(asked), "host", "left_semi")
-    counted = checkpoint(grouped(spread).mapInPandas(count, "host string, shard int, run long, n long"))
-    often = counted.groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_PAGES).select("host", "run")
+    counted = checkpoint(grouped(spread).mapInPandas(count, "host string, shard int, run long, pages array<long>"))
+    # Each run's pages are made distinct before they are counted, so a run on all of a host's pages spreads over tasks.
+    each = counted.select("host", "run", F.explode("pages").alias("page")).distinct().groupBy("host", "run").agg(F.count(F.lit(1)).alias("n"))
+    each = checkpoint(each)
+    of = each.where("run IS NULL").select("host", F.greatest(F.lit(MIN_PAGES), F.ceil(F.col("n") * F.lit(SHARE))).alias("least"))
+    often = each.where("run IS NOT NULL").join(F.broadcast(of), "host").where("n >= least").select("host", "run")
     found = counted.select("host", "shard", "run").join(often.hint("merge"), ["host", "run"])
     mended = spread.groupBy("host", "shard").cogroup(found.groupBy("host", "shard")).applyInPandas(lambda a, b: cut(a, b), out)
     rest = grouped(dealt.join(F.broadcast(asked), "host", "left_anti")).mapInPandas(whole, out)

@@ -319,6 +319,30 @@ def test_html_counts_over_all_shards_of_a_host(spark, monkeypatch):
     assert got == {i: story(i) for i in range(40)}
 
 
+def test_html_keeps_phrases_headings_and_copied_articles():
+    story = lambda i: " ".join(f"s{i}x{n}" for n in range(30))
+    page = lambda *b: html.blocks("<body>" + "".join(f"<div>{x}</div>" for x in b) + "</body>")
+    notice = " ".join(f"n{n}" for n in range(25))
+    pages, want = [], []
+    for i in range(100):
+        text = f"{story(i)} at the end of the day {story(-i - 1)}"
+        head = ["Introduction"] if i < 3 else []
+        pages.append(page(*head, text, f"{notice} page {i}"))
+        want.append("\n\n".join([*head, text]))
+    copied = [story(500), story(501)]
+    pages += [page(*copied)] * 20
+    want += ["\n\n".join(copied)] * 20
+    assert html.main_texts(pages) == want
+
+
+def test_html_copies_in_several_shards_are_one_page(spark, monkeypatch):
+    monkeypatch.setattr(html, "SHARD", 4)
+    article = " ".join(f"w{n}" for n in range(60))
+    rows = [(i, f"http://big.org/{i}", f"<body><nav>{i} of 30</nav><div>{article}</div></body>") for i in range(30)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == dict.fromkeys(range(30), article)
+
+
 def test_token_scan(spark):
     rng = random.Random(4)
     for block in (4, 7, 64):
