@@ -3,11 +3,11 @@
 Only suffixes that begin at content-selected positions are kept: of every
 WINDOW consecutive word positions, the one whose SEED words have the least
 hash. Any two equal passages of LENGTH words hold the same such position, so a
-match can't fall between the kept suffixes. The suffixes are sorted by their
-seed and neighbours with the same seed are compared; a match is extended to the
-left and right by comparing the windows of LENGTH words that share the
-position, from the one that ends with it to the one that begins with it. The
-windows that occur in two documents or more are united to maximal spans.
+match can't fall between the kept suffixes. The suffixes are sorted by the hash
+of their seed, not by their words. Each carries the hashes of the windows of
+LENGTH words in which it is the kept position; windows are equal where their
+hashes are, and no words are compared. The windows that occur in two documents
+or more are united to maximal spans.
 
 Two passes read the texts. The first finds the seeds that two documents share;
 these set bits of a map of fixed size, and the second pass carries context
