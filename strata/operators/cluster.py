@@ -36,10 +36,11 @@ def first_centroids(vectors: DataFrame, k: int, ord_col: str = "ord", vector_col
     return chosen
 
 
-def assign(vectors: DataFrame, centroids: list[list[float]], ord_col: str = "ord", vector_col: str = "vector") -> DataFrame:
-    """ord, v, cluster: the most similar centroid, the lowest number of equals."""
+def assign(vectors: DataFrame, centroids: list[list[float]], ord_col: str = "ord", vector_col: str = "vector", digits: int | None = None) -> DataFrame:
+    """ord, v, cluster: the most similar centroid, the lowest number of equals; similarities are compared as rounded to ``digits``, where that is given."""
     points = _beside(_points(vectors, ord_col, vector_col), centroids)
-    scored = F.transform("c", lambda c, i: F.struct(dot(F.col("v"), c).alias("s"), (-i).alias("i")))
+    near = lambda c: dot(F.col("v"), c) if digits is None else F.round(dot(F.col("v"), c), digits)
+    scored = F.transform("c", lambda c, i: F.struct(near(c).alias("s"), (-i).alias("i")))
     return points.select("ord", "v", (-F.array_max(scored)["i"]).cast("int").alias("cluster"))
 
 

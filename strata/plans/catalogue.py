@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import text as T
 from strata.functions.vectors import doubles, dot, md5_embedding, unit
-from strata.operators import chunking, evidence, graph, lexical, memory, router, search
+from strata.operators import chunking, cluster, evidence, graph, lexical, memory, router, search
 from strata.plans import compat, guard
 from strata.sources import cache, tables
 from strata.streaming.ingest import windowed_counts
@@ -178,6 +178,10 @@ def centres(spark, sf_dir):
     return parts.groupBy(F.col("label").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
 
 
+def units(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", unit(doubles(F.col("embedding"))).alias("vector"))
+
+
 @query(f"WITH {CENTRES} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM vr WHERE rank <= 20")
 def vector_topk(spark, sf_dir):
     """The 20 vectors nearest to the mean of each label."""
@@ -235,12 +239,33 @@ def rerank(spark, sf_dir):
 )
 def kmeans_assign(spark, sf_dir):
     """Each vector's nearest mean, by cosine; the lower label of equals."""
-    from strata.operators.sized import pair_with_all
+    means = centres(spark, sf_dir).orderBy("query_id").select("query_id", unit(F.col("vector")).alias("q")).collect()  # a row a label
+    found = cluster.assign(units(spark, sf_dir), [r["q"] for r in means], "vec_id", digits=6)
+    labels = spark.createDataFrame([([r["query_id"] for r in means],)], "labels array<int>")
+    return found.crossJoin(F.broadcast(labels)).select(F.col("ord").alias("vec_id"), F.get("labels", F.col("cluster")).alias("cluster"))
+
+
+CHOSEN = "e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), c0 AS (SELECT 0 AS cluster, vec_id, v FROM e ORDER BY vec_id LIMIT 1)" + "".join(
+    f", n{i} AS (SELECT e.vec_id, any_value(e.v) AS v, max(list_cosine_similarity(e.v, c.v)) AS near FROM e, c{i - 1} c GROUP BY e.vec_id),"
+    f" c{i} AS (SELECT * FROM c{i - 1} UNION ALL SELECT * FROM (SELECT {i}, vec_id, v FROM n{i} ORDER BY near, vec_id LIMIT 1))"
+    for i in range(1, 5)
+)
+
+
+@query(
+    f"WITH {CHOSEN}, x AS (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i, sqrt(list_inner_product(v, v)) AS n FROM c4)"
+    " SELECT cluster, CAST(i - 1 AS INTEGER) AS dim, round(x / n, 6) AS x FROM x"
+)
+def kmeans_init(spark, sf_dir):
+    """Five first centroids: the first vector, then the farthest from those chosen, component by component."""
+    first = cluster.first_centroids(units(spark, sf_dir), 5, "vec_id")
+    rows = spark.createDataFrame(list(enumerate(first)), "cluster int, v array<double>")
+    return rows.select("cluster", F.posexplode("v").alias("dim", "x")).withColumn("x", F.round("x", 6))
+
 
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", unit(doubles(F.col("embedding"))).alias("v"))
-    pairs = pair_with_all(rows, centres(spark, sf_dir).select("query_id", unit(F.col("vector")).alias("q")))
-    best = F.max_by("query_id", F.struct(F.round(dot(F.col("v"), F.col("q")), 6), -F.col("query_id")))
-    return pairs.groupBy("vec_id").agg(best.alias("cluster"))
+def kmeans_run(spark, sf_dir):
+    """Five clusters of all vectors. SQL has no loop that stops when no vector moves, so none stands beside it."""
+    return cluster.kmeans(units(spark, sf_dir), 5, ord_col="vec_id").select(F.col("ord").alias("vec_id"), "cluster")
 
 
 # --- text units ---
@@ -545,7 +570,7 @@ def event_windows(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | {"kmeans_run": kmeans_run}
 
 
 def oracle_sql() -> dict[str, str]:

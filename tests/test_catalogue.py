@@ -43,6 +43,18 @@ def test_plans(spark, sf_dir):
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)" in catalogue.sql_native_join(spark, sf_dir)._jdf.queryExecution().toString()
 
 
+def test_kmeans_operator_is_covered(spark, sf_dir, monkeypatch):
+    from strata.operators import cluster
+
+    asked, real = [], cluster.assign
+    monkeypatch.setattr(cluster, "assign", lambda *a, **b: asked.append(1) or real(*a, **b))
+    n = catalogue.read(spark, sf_dir, "embeddings").count()
+    assert catalogue.queries()["kmeans_assign"](spark, sf_dir).count() == n and asked
+    got = catalogue.queries()["kmeans_run"](spark, sf_dir).collect()
+    assert len({r["vec_id"] for r in got}) == len(got) == n and {r["cluster"] for r in got} <= set(range(5))
+    assert "kmeans_init" in catalogue.queries()
+
+
 def test_entry_has_sql_for_queries_only():
     import __spark_entry__ as e
 
