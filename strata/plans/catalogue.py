@@ -470,7 +470,7 @@ QUESTIONS = "q AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELEC
 
 
 def routed(tier: str) -> str:
-    return f"len(regexp_extract_all(lower(text), '\\b({'|'.join(sorted(router.VOCABULARY[tier], key=len, reverse=True))})\\b'))"
+    return f"len(regexp_extract_all(lower(text), '\\b({'|'.join(router.VOCABULARY[tier])})\\b'))"
 
 
 def mixed_questions(spark, sf_dir):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folder names that hold no documents of one's own; the corpus root itself may bear one.
-SKIPPED = frozenset({".cache", ".git", ".next", ".strata", ".venv", "__pycache__", "build", "coverage", "dist", "node_modules", "target", "vendor", "venv"})
+# Folder names that hold no documents of one's own; the corpus root itself may bear one.
+SKIPPED = frozenset({"node_modules", ".git", "vendor", "dist", "build", "target", ".next", ".venv", "venv", "__pycache__", ".cache", "coverage", ".strata"})
 
 
 def read_corpus(spark: SparkSession, folder: str, exclude: tuple[str, ...] = ()) -> DataFrame:
