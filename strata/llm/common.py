@@ -15,18 +15,40 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    set only where the session names none, as in tests on one machine.
+    Where that is unset, the context's checkpoint folder, or else a temporary
+    one, which only a local master's one machine can see: on any other master
+    this raises.
     """
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the executors share")
+    return tempfile.mkdtemp(prefix="strata-")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder all executors share."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strata-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def unused(columns: list[str], name: str) -> str:
+    """name, or name with a number behind it, that no column bears, whatever the case."""
+    taken, out, n = {c.lower() for c in columns}, name, 0
+    while out.lower() in taken:
+        n += 1
+        out = f"{name}_{n}"
+    return out

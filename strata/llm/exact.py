@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import shuffle_partitions
+from strata.llm.common import shuffle_partitions, unused
 
 SALTS = 256
 KEEP = {"largest": F.max, "smallest": F.min}
@@ -78,11 +78,11 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat both the text and the identifier that stays are one
     document given more than once; one of them stays.
     """
-    digest, twin = "_strata_digest", "_strata_keep"
+    digest, twin = unused(docs.columns, "_digest"), unused(docs.columns, "_keep")
     groups = content_groups(docs, id_col, text_col, keep).select(F.col("digest").alias(digest), F.col("keep_id").alias(twin))
     marked = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
     # Digest and identifier together are the key, so a hot text's rows fall apart by identifier; dropping rows that
     # repeat both needs no further exchange.
     stays = groups.select(digest, twin)
     kept = marked.join(stays.hint("merge"), (marked[digest] == stays[digest]) & marked[id_col].eqNullSafe(stays[twin]), "left_semi")
-    return kept.dropDuplicates([digest, id_col]).select(*docs.columns)
+    return kept.dropDuplicates([digest, id_col]).select(*(F.col(f"`{c}`") for c in docs.columns))

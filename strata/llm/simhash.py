@@ -2,36 +2,47 @@
 
 A tree over whole 64-bit fingerprints prunes almost nothing at radius 4: the
 distances of unrelated fingerprints from any vantage point crowd around 32 with
-a deviation of 4, so about three queries of four overlap the boundary at every
-level. The fingerprint is therefore cut into blocks and each block gets a
-vantage-point tree of its own. Two fingerprints within ``limit`` bits differ by
-at most ``limit // blocks`` bits in one block at least; that is the radius with
-which a block's tree is queried, and where the triangle bound lets a boundary
-be crossed, the query goes to both sides. With more blocks than bits of the
-limit the radius is zero and every fingerprint visits one leaf a tree; with
-fewer blocks there are fewer trees and overlapping leaves.
+a deviation of 4, so most queries overlap the boundary at every level (figures
+in the README). The fingerprint is therefore cut into blocks, and every choice
+of ``picked`` blocks gets a vantage-point tree of its own. Two fingerprints
+within ``limit`` bits differ by few bits in one such choice at least; that is
+the radius with which its tree is queried, and where the triangle bound lets a
+boundary be crossed, the query goes to both sides. With five blocks the radius
+is zero and every fingerprint visits one leaf a tree; with fewer blocks there
+are fewer trees and overlapping leaves. Beyond CROWD distinct fingerprints a
+tree is made for each pair of six blocks, beyond 256 times CROWD for each three
+of seven: more trees, and with them cells that stay small. The links are the
+same either way.
 
 The trees are built on the driver from a bounded sample and decide only where
-fingerprints meet, never whether they do. A leaf's fingerprints are sorted by
-their full distance from the leaf's vantage point and compared only while those
-distances differ by at most ``limit`` (the triangle bound again). Leaves beyond
-LEAF are dealt out as a triangle of pairs of sub-leaves, so no task holds more
-than two sub-leaves. Exact copies of a fingerprint are folded before any of it,
-and a leaf returns a spanning forest of its links, not all pairs.
+fingerprints meet, never whether they do. At radius zero only those with the
+same bits in the tree's blocks can be linked through it, so a leaf falls into
+cells of equal bits. A cell's fingerprints are sorted by their full distance
+from the leaf's vantage point and compared only while those distances differ by
+at most ``limit`` (the triangle bound again). Cells beyond LEAF are dealt out as
+a triangle of pairs of parts, so no task holds more than two parts. Exact copies
+of a fingerprint are folded before any of it, and a cell returns a spanning
+forest of its links, not all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import checkpoint
+from strata.llm.common import checkpoint, unused
 
 SHINGLE, LIMIT, BLOCKS, SAMPLE, LEAF = 4, 4, 5, 20_000, 4096
+#: Distinct fingerprints up to which trees over single blocks have small cells.
+CROWD = 1 << 23
+#: Rows of the table of crowded cells that may be broadcast.
+MOST_CELLS = 50_000
 #: A tree stops splitting at so many sampled fingerprints.
 SPLIT = 8
 
@@ -70,13 +81,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return ids.mapInPandas(run, "id string, fingerprint long").select(F.col("id").cast(kind).alias(id_col), "fingerprint")
 
 
+def reach(limit: int, blocks: int, picked: int) -> int:
+    """Of ``limit`` differing bits over ``blocks`` blocks, how many fall at most into the ``picked`` blocks that have fewest."""
+    each, more = divmod(limit, blocks)
+    return picked * each + max(0, picked - (blocks - more))
+
+
 class Forest:
-    """A vantage-point tree for each block of bits, as flat arrays that are sent to the executors."""
+    """A vantage-point tree for each choice of blocks of bits, as flat arrays that are sent to the executors."""
 
-    def __init__(self, sample: np.ndarray, limit: int = LIMIT, blocks: int = BLOCKS, split: int = SPLIT):
-        self.limit, self.radius = limit, limit // blocks
+    def __init__(self, sample: np.ndarray, limit: int = LIMIT, blocks: int = BLOCKS, picked: int = 1, split: int = SPLIT):
+        self.limit, self.radius = limit, reach(limit, blocks, picked)
         edges = np.linspace(0, 64, blocks + 1).round().astype(int).tolist()
-        self.masks = [np.uint64(((1 << (b - a)) - 1) << a) for a, b in zip(edges, edges[1:], strict=False)]
+        parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+        self.masks = [np.uint64(sum(some)) for some in combinations(parts, picked)]
         self.roots, self.point, self.cut, self.near, self.far = [], [], [], [], []
         for mask in self.masks:
             self.roots.append(self._grow(np.unique(sample & mask), mask, split))
@@ -97,34 +115,33 @@ class Forest:
             self.far[at] = self._grow(points[d > cut], mask, split)
         return at
 
-    def leaves(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the point, leaf) for every leaf that a ball of the radius around the point overlaps."""
-        which, found = [], []
+    def leaves(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the point, leaf, cell) for every leaf that a ball of the radius around the point overlaps. A leaf is one cell, unless the radius is zero."""
+        which, found, cells = [], [], []
         for mask, root in zip(self.masks, self.roots, strict=True):
             index, node = np.arange(len(points)), np.full(len(points), root, np.int32)
             while len(index):
                 done = self.cut[node] < 0
                 which.append(index[done])
                 found.append(node[done])
+                cells.append((points[index[done]] & mask).view(np.int64) if self.radius == 0 else np.zeros(int(done.sum()), np.int64))
                 index, node = index[~done], node[~done]
                 d = np.bitwise_count((points[index] & mask) ^ self.point[node]).astype(np.int16)
                 near, far = d - self.radius <= self.cut[node], d + self.radius > self.cut[node]
                 index, node = np.concatenate([index[near], index[far]]), np.concatenate([self.near[node[near]], self.far[node[far]]])
-        return np.concatenate(which), np.concatenate(found)
+        return np.concatenate(which), np.concatenate(found), np.concatenate(cells)
 
 
-def _links(leaf: np.ndarray, side: np.ndarray, bits: np.ndarray, limit: int) -> np.ndarray:
-    """Pairs (i, j) of one leaf within the limit; rows are sorted by leaf, then by distance from its vantage point. side: bit 1 and bit 2 tell whether a row is of the pair's first and second sub-leaf."""
+def _links(group: np.ndarray, side: np.ndarray, bits: np.ndarray, vantage: np.ndarray, limit: int) -> np.ndarray:
+    """Pairs (i, j) of one group within the limit. vantage: each row's vantage point; side: bit 1 and bit 2 tell whether a row is of the first and second of its group's two parts."""
     n, out, step = len(bits), [], 1
-    first = np.r_[True, leaf[1:] != leaf[:-1]]
-    vantage = bits[np.flatnonzero(first)[np.cumsum(first) - 1]]
     far = np.bitwise_count(bits ^ vantage).astype(np.int16)
-    order = np.lexsort((far, leaf))
-    leaf, side, bits, far = leaf[order], side[order], bits[order], far[order]
+    order = np.lexsort((far, group))
+    group, side, bits, far = group[order], side[order], bits[order], far[order]
     alive = np.arange(n)
     while True:
         alive = alive[alive + step < n]
-        alive = alive[(leaf[alive] == leaf[alive + step]) & (far[alive + step] - far[alive] <= limit)]
+        alive = alive[(group[alive] == group[alive + step]) & (far[alive + step] - far[alive] <= limit)]
         if not len(alive):
             break
         hit = alive[(np.bitwise_count(bits[alive] ^ bits[alive + step]) <= limit) & ((side[alive] | side[alive + step]) == 3)]
@@ -151,37 +168,42 @@ def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
     return np.stack([member, label[member]])
 
 
-def near_links(points: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS, sample: int = SAMPLE, leaf_cap: int = LEAF) -> DataFrame:
+def near_links(points: DataFrame, limit: int = LIMIT, blocks: int | None = None, picked: int = 1, sample: int = SAMPLE, leaf_cap: int = LEAF) -> DataFrame:
     """links (a, b) between distinct fingerprints, enough to connect all that lie within ``limit`` bits of each other.
 
     points: distinct, non-null fingerprints in a column ``fingerprint``.
-    Every link is a connection inside one leaf, and every pair within the
-    limit meets in some leaf; the links of a leaf form a spanning forest.
+    Every link is a connection inside one cell, and every pair within the
+    limit meets in some cell; the links of a cell form a spanning forest.
+    blocks and picked are chosen by the number of points where blocks is None;
+    they decide what the search costs, not what it finds.
     """
-    spark = points.sparkSession
+    if blocks is None:
+        n = points.count()
+        blocks, picked = (limit + 1, 1) if n <= CROWD else (limit + 2, 2) if n <= CROWD << 8 else (limit + 3, 3)
     drawn = points.orderBy(F.xxhash64("fingerprint")).limit(sample).collect()
-    forest = Forest(np.array([r[0] for r in drawn], np.int64).view(np.uint64), limit, blocks)
+    forest = Forest(np.array([r[0] for r in drawn], np.int64).view(np.uint64), limit, blocks, picked)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             bits = pdf["fingerprint"].to_numpy(np.int64).view(np.uint64)
-            which, leaf = forest.leaves(bits)
-            yield pd.DataFrame({"leaf": leaf, "fingerprint": bits[which].view(np.int64)})
-
-    placed = points.select("fingerprint").mapInPandas(place, "leaf int, fingerprint long")
-    # A row a leaf at most; the sample bounds the number of leaves.
-    full = placed.groupBy("leaf").count().where(F.col("count") > leaf_cap).select("leaf", F.ceil(F.col("count") / leaf_cap).cast("int").alias("subs"))
-    large = {r["leaf"]: r["subs"] for r in full.collect()}
-    if large:
-        subs = F.broadcast(spark.createDataFrame(list(large.items()), "leaf int, subs int"))
+            which, leaf, cell = forest.leaves(bits)
+            yield pd.DataFrame({"leaf": leaf, "cell": cell, "fingerprint": bits[which].view(np.int64)})
+
+    placed = points.select("fingerprint").mapInPandas(place, "leaf int, cell long, fingerprint long")
+    crowded = placed.groupBy("leaf", "cell").count().where(F.col("count") > leaf_cap).select("leaf", "cell", F.ceil(F.col("count") / leaf_cap).cast("int").alias("subs"))
+    crowded = checkpoint(crowded)
+    n = crowded.count()
+    if n:
+        crowded = F.broadcast(crowded) if n <= MOST_CELLS else crowded.hint("merge")
         mine = F.pmod(F.xxhash64("fingerprint"), F.col("subs")).cast("int")
         dealt = (
-            placed.join(subs, "leaf", "left")
+            placed.join(crowded, ["leaf", "cell"], "left")
             .withColumn("subs", F.coalesce("subs", F.lit(1)))
             .withColumn("mine", mine)
-            .select("leaf", "fingerprint", "mine", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("other"))
+            .select("leaf", "cell", "fingerprint", "mine", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("other"))
             .select(
                 "leaf",
+                "cell",
                 F.least("mine", "other").alias("p"),
                 F.greatest("mine", "other").alias("q"),
                 F.when(F.col("mine") == F.col("other"), 3).when(F.col("mine") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
@@ -189,15 +211,15 @@ def near_links(points: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS, samp
             )
         )
     else:
-        dealt = placed.select("leaf", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(3).alias("side"), "fingerprint")
-    key = F.col("p").cast("long") * 1_000_003 + F.col("q")
-    dealt = dealt.select("leaf", key.alias("pair"), "side", "fingerprint").repartition("leaf", "pair").sortWithinPartitions("leaf", "pair", "fingerprint")
+        dealt = placed.select("leaf", "cell", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(3).alias("side"), "fingerprint")
+    group = ["leaf", "cell", "p", "q"]
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group, "fingerprint")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in whole_groups(batches, ["leaf", "pair"]):
-            number = np.cumsum(np.r_[0, (np.diff(pdf["leaf"].to_numpy()) != 0) | (np.diff(pdf["pair"].to_numpy()) != 0)])
+        for pdf in whole_groups(batches, group):
+            new = np.logical_or.reduce([np.diff(pdf[c].to_numpy()) != 0 for c in group])
             values = pdf["fingerprint"].to_numpy(np.int64)
-            pairs = _links(number, pdf["side"].to_numpy(), values.view(np.uint64), limit)
+            pairs = _links(np.cumsum(np.r_[0, new]), pdf["side"].to_numpy(), values.view(np.uint64), forest.point[pdf["leaf"].to_numpy()], limit)
             if pairs.shape[1]:
                 member, least = _forest(pairs, len(values))
                 yield pd.DataFrame({"a": values[member], "b": values[least]})
@@ -253,7 +275,7 @@ def components(links: DataFrame) -> DataFrame:
     return nodes
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, limit: int = LIMIT, blocks: int = BLOCKS) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, limit: int = LIMIT, blocks: int | None = None, picked: int = 1) -> DataFrame:
     """Every row of docs as id_col, fingerprint (16 hex digits), component_id.
 
     Fingerprints link at ``limit`` or fewer differing bits; component_id is
@@ -265,7 +287,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     prints = checkpoint(fingerprints(docs, id_col, text_col, k))
     firsts = checkpoint(prints.groupBy("fingerprint").agg(F.min(id_col).alias("first")))
-    linked = components(near_links(firsts, limit, blocks))
+    linked = components(near_links(firsts, limit, blocks, picked))
     least = linked.join(firsts.hint("merge"), F.col("node") == F.col("fingerprint")).groupBy("root").agg(F.min("first").alias("least"))
     small = linked.join(checkpoint(least).hint("merge"), "root").select(F.col("node").alias("fingerprint"), "least")
     named = checkpoint(firsts.join(small, "fingerprint", "left").select("fingerprint", F.coalesce("least", "first").alias("component_id")))
@@ -290,8 +312,8 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         return pd.Series(np.array([fingerprint(t, k) for t in texts], dtype=np.uint64).view(np.int64))
 
     groups = simhash_groups(docs, id_col, text_col, **options)
-    lost = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id")))
-    gone = lost.select(F.col(id_col).alias("_strata_gone"), F.col("fingerprint").alias("_strata_lost")).distinct()
-    marked = docs.withColumn("_strata_print", F.lpad(F.lower(F.hex(printed(F.col(text_col)))), 16, "0"))
-    same = marked[id_col].eqNullSafe(gone["_strata_gone"]) & (marked["_strata_print"] == gone["_strata_lost"])
-    return marked.join(gone.hint("merge"), same, "left_anti").drop("_strata_print")
+    gone_id, lost, own = (unused(docs.columns, n) for n in ("_gone", "_lost", "_print"))
+    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(gone_id), F.col("fingerprint").alias(lost)).distinct()
+    marked = docs.withColumn(own, F.lpad(F.lower(F.hex(printed(F.col(text_col)))), 16, "0"))
+    same = marked[id_col].eqNullSafe(gone[gone_id]) & (marked[own] == gone[lost])
+    return marked.join(gone.hint("merge"), same, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

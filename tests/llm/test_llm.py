@@ -110,14 +110,14 @@ def test_drop_near_judges_each_text_of_an_identifier(spark):
     assert Counter(map(tuple, kept)) == Counter([(1, a), (None, b), (5, c), (2, d), (7, None)])
 
 
-@pytest.mark.parametrize(("blocks", "cap"), [(5, 4096), (3, 4096), (2, 40), (5, 25), (1, 4096)])
-def test_links_are_complete(spark, blocks, cap):
+@pytest.mark.parametrize(("blocks", "picked", "cap"), [(None, 1, 4096), (3, 1, 4096), (2, 1, 40), (5, 1, 3), (1, 1, 4096), (6, 2, 4096), (7, 3, 2), (6, 3, 4096)])
+def test_links_are_complete(spark, blocks, picked, cap):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**64, 60, dtype=np.uint64)
     near = np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)) for _ in range(4))])
     points = np.unique(near)
     df = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fingerprint long")
-    links = simhash.near_links(df, 4, blocks, sample=150, leaf_cap=cap)
+    links = simhash.near_links(df, 4, blocks, picked, sample=150, leaf_cap=cap)
     got = {r["node"]: r["root"] for r in simhash.components(links).collect()}
     want = brute_groups([(int(x), int(np.int64(x).view(np.uint64))) for x in points.view(np.int64)], 4)
     assert {w[0]: w[2] for w in want} == {w[0]: got.get(w[0], w[0]) for w in want}
