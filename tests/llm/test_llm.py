@@ -343,26 +343,32 @@ def test_html_copies_in_several_shards_are_one_page(spark, monkeypatch):
     assert {r["page_id"]: r["text"] for r in got} == dict.fromkeys(range(30), article)
 
 
-def test_token_scan(spark):
-    rng = random.Random(4)
-    for block in (4, 7, 64):
-        files, want = [], []
-        for f in range(5):
-            flat = [rng.choice([0, 1, 2, 3]) for _ in range(rng.randrange(0, 90))]
-            start, ordinal = 0, 0
-            for i, t in enumerate([*flat, None]):
-                if t == 0 or t is None and start < i:
-                    want.append((f"f{f}", ordinal, start, i - start))
-                    start, ordinal = i + 1, ordinal + 1
-            files += [(f"f{f}", n, np.array(flat[a : a + block], "<u4").tobytes()) for n, a in enumerate(range(0, len(flat), block))]
-        got = token_scan.count_tokens(spark.createDataFrame([*files, ("f9", 0, None)], "file string, block long, ids binary"), 0)
-        assert sorted(map(tuple, got.collect())) == sorted(want)
-
-
-def test_token_files(spark, tmp_path):
-    (tmp_path / "a.bin").write_bytes(np.array([5, 9, 9, 7, 7, 7, 9, 1], "<u2").tobytes())
-    got = token_scan.count_tokens(token_scan.token_files(spark, str(tmp_path), 2, 3), 9, 2).collect()
-    assert sorted((r["ordinal"], r["n_tokens"]) for r in got) == [(0, 1), (1, 0), (2, 3), (3, 1)]
+@pytest.mark.parametrize(("tokens", "block"), [(4, 4), (7, 3), (64, 5), (1000, 1)])
+def test_token_scan(spark, tmp_path, tokens, block):
+    """Ranges and blocks of any length against one pass over each file; a file of many ranges spreads over tasks."""
+    rng, want = random.Random(4), []
+    for f in range(6):
+        flat = [rng.choice([0, 1, 2, 3]) for _ in range(rng.randrange(0, 90) if f else 900)]
+        (tmp_path / f"f{f}").write_bytes(np.array(flat, "<u4").tobytes())
+        start, ordinal = 0, 0
+        for i, t in enumerate([*flat, None]):
+            if t == 0 or t is None and start < i:
+                want.append((f"f{f}", ordinal, start, i - start))
+                start, ordinal = i + 1, ordinal + 1
+    spans = token_scan.token_files(spark, str(tmp_path), tokens=tokens)
+    assert spans.where("file like '%f0'").count() == -(-900 // tokens)
+    got = token_scan.count_tokens(spans, 0, block=block).collect()
+    assert sorted((Path(r["file"]).name, *r[1:]) for r in got) == sorted(want)
+
+
+def test_token_rows_list_few_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_scan, "LISTED", 5)
+    (tmp_path / "a.bin").write_bytes(np.array([5, 9, *[9] * 23, 7, 7, 7, 9, 1], "<u2").tobytes())
+    got = token_scan.count_tokens(token_scan.token_files(spark, str(tmp_path), 2), 9, 2).collect()
+    assert sorted((r["ordinal"], r["n_tokens"]) for r in got) == [(0, 1), *((i, 0) for i in range(1, 24)), (24, 3), (25, 1)]
+    (tmp_path / "b.bin").write_bytes(b"123")
+    with pytest.raises(Exception, match="whole number"):
+        token_scan.token_files(spark, str(tmp_path), 2).collect()
 
 
 def test_token_counts_query(spark, sf_dir):
