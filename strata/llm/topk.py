@@ -6,7 +6,9 @@ hash of the identifier. Every shard builds a ball tree. Queries go through it a
 block at a time: a node is left out for the queries whose kth score so far
 exceeds the node's bound, q.c + |q| r, and nodes with the higher bound come
 first. The kth score is shared: a first pass over the query's own shard gives
-each query a score to start from, which all other shards prune by.
+each query a score to start from. By it a query is sent only to those other
+shards whose own ball may hold a score as high, and a shard's vectors only to
+the blocks of queries that come to it; there the trees prune by it again.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from strata.llm.common import checkpoint
 
 PIVOTS, SAMPLE, SHARD, BLOCK, LEAF = 32, 2_048, 8_192, 8_192, 256
+#: Pivots a shard, beyond PIVOTS and up to SAMPLE.
+FINE = 4
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -157,31 +161,41 @@ def topk(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col:
     if not drawn:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(map(len, drawn))
-    pivots = _pivots(np.array([np.pad(d, (0, width - len(d))) for d in drawn]), PIVOTS)
+    wanted = max(PIVOTS, FINE * rows.count() // shard)
+    pivots = _pivots(np.array([np.pad(d, (0, width - len(d))) for d in drawn]), wanted)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             packed = [np.asarray(v, np.int64) for v in pdf["v"]]
-            cells = np.zeros(len(packed), np.int32)
+            cells, far = np.zeros(len(packed), np.int32), np.zeros(len(packed))
             for at in range(0, len(packed), 2048):
                 some = packed[at : at + 2048]
-                wide = np.zeros((len(some), width))
-                for row, v in zip(wide, some, strict=True):
-                    row[: min(width, len(v))] = v[:width]
-                cells[at : at + len(some)] = np.argmin((pivots**2).sum(axis=1) - 2 * wide @ pivots.T, axis=1)
-            yield pd.DataFrame({"id": pdf["id"], "asked": pdf["asked"], "cell": cells, "v": [p.tobytes() for p in packed]})
-
-    placed = checkpoint(rows.mapInPandas(place, "id long, asked boolean, cell int, v binary"))
-    counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most PIVOTS rows
-    subs = {c: -(-n // shard) for c, n in counts.items()}
-    first = dict(zip(sorted(subs), np.cumsum([0, *(subs[c] for c in sorted(subs))]).tolist(), strict=False))
-    table = F.broadcast(spark.createDataFrame([(c, first[c], subs[c]) for c in subs], "cell int, first int, subs int"))
-    sharded = placed.join(table, "cell").select("id", "asked", "v", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("subs"))).cast("int").alias("shard"))
+                wide, rest = np.zeros((len(some), width)), np.zeros(len(some))
+                for i, v in enumerate(some):
+                    wide[i, : min(width, len(v))] = v[:width]
+                    rest[i] = (v[width:].astype(np.float64) ** 2).sum()
+                own = np.argmin((pivots**2).sum(axis=1) - 2 * wide @ pivots.T, axis=1)
+                cells[at : at + len(some)] = own
+                far[at : at + len(some)] = np.sqrt(((wide - pivots[own]) ** 2).sum(axis=1) + rest)
+            yield pd.DataFrame({"id": pdf["id"], "asked": pdf["asked"], "cell": cells, "far": far, "v": [p.tobytes() for p in packed]})
+
+    placed = checkpoint(rows.mapInPandas(place, "id long, asked boolean, cell int, far double, v binary"))
+    counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most SAMPLE rows
+    cells = sorted(counts)
+    subs = np.array([-(-counts[c] // shard) for c in cells])
+    first = np.cumsum(np.r_[0, subs])
+    table = F.broadcast(spark.createDataFrame([(c, int(a), int(n)) for c, a, n in zip(cells, first, subs, strict=False)], "cell int, first int, subs int"))
+    sharded = placed.join(table, "cell").select("id", "asked", "v", "far", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("subs"))).cast("int").alias("shard"))
     asked = checkpoint(sharded.where("asked").select("id", "v", "shard").dropDuplicates(["id", "v"]))
-    n_asked, n_shards = asked.count(), sum(subs.values())
-    n_blocks = max(1, -(-n_asked // BLOCK))
+    # A shard's ball: its cell's pivot, and the farthest of its rows (a number a shard reaches the driver).
+    radius = np.zeros(int(first[-1]))
+    for r in sharded.groupBy("shard").agg(F.max("far").alias("far")).collect():
+        radius[r["shard"]] = r["far"] * (1 + 1e-9) + 1e-6
+    centre, reach = pivots[cells], np.array([radius[a:b].max() for a, b in zip(first, first[1:], strict=False)])
+    n_blocks = max(1, -(-asked.count() // BLOCK))
     block = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n_blocks)).cast("int")
     schema = "query_id long, q binary, vec_id long, score long"
+    lowest = F.lit(float("-inf"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -190,16 +204,36 @@ def topk(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col:
         return pd.DataFrame({"query_id": right["query_id"].to_numpy()[q], "q": right["q"].to_numpy()[q], "vec_id": i, "score": s})
 
     def against(queries: DataFrame) -> DataFrame:
-        return every.groupBy("shard", "block").cogroup(queries.groupBy("to_shard", "of_block")).applyInPandas(run, schema)
-
-    every = sharded.select("id", "v", "shard", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    lowest = F.lit(float("-inf"))
-    asked = asked.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("shard").alias("home"), block.alias("of_block"))
-    home = against(asked.select("query_id", "q", F.col("home").alias("to_shard"), "of_block", lowest.alias("floor")))
-    started = home.groupBy("query_id", "q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).drop("n")
-    spread = asked.join(started, ["query_id", "q"], "left").select(
-        "query_id", "q", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("to_shard"), "of_block", F.coalesce(F.col("least").cast("double"), lowest).alias("floor")
-    )
-    found = against(spread)
+        """Queries (query_id, q, shard, block, floor) searched in their shard, whose rows go to the blocks that ask for it."""
+        queries = queries.select("query_id", "q", "floor", F.col("shard").alias("to_shard"), F.col("block").alias("of_block"))
+        wanted = queries.select(F.col("to_shard").alias("shard"), F.col("of_block").alias("for_block")).distinct()
+        rows = sharded.select("id", "v", "shard").join(wanted, "shard")
+        return rows.groupBy("shard", "for_block").cogroup(queries.groupBy("to_shard", "of_block")).applyInPandas(run, schema)
+
+    asked = asked.select(F.col("id").alias("query_id"), F.col("v").alias("q"), "shard", block.alias("block"))
+    home = checkpoint(against(asked.withColumn("floor", lowest)))
+    started = home.groupBy("query_id", "q").agg(F.min("score").cast("double").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).drop("n")
+    floors = asked.join(started, ["query_id", "q"], "left").select("query_id", "q", "shard", "block", F.coalesce("least", lowest).alias("floor"))
+
+    def onward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each other shard whose ball may hold a score that reaches the query's floor."""
+        for pdf in batches:
+            for at in range(0, len(pdf), 512):
+                part = pdf.iloc[at : at + 512].reset_index(drop=True)
+                q = _matrix(part["q"]).astype(np.float64)
+                norms, floor = np.sqrt((q**2).sum(axis=1)), part["floor"].to_numpy(np.float64)
+                q, c = _aligned(q, centre)
+                inner = q @ c.T
+                slack = (np.abs(inner) + norms[:, None] * reach) * 1e-9 + 1e-6
+                query, cell = np.nonzero(inner + norms[:, None] * reach + slack >= floor[:, None])
+                each = subs[cell]
+                to = np.repeat(first[cell], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                query, inner, slack = np.repeat(query, each), np.repeat(inner[query, cell], each), np.repeat(slack[query, cell], each)
+                go = (inner + norms[query] * radius[to] + slack >= floor[query]) & (to != part["shard"].to_numpy()[query])
+                rows = part.iloc[query[go]]
+                yield pd.DataFrame({"query_id": rows["query_id"].to_numpy(), "q": rows["q"].to_numpy(), "shard": to[go].astype(np.int32), "block": rows["block"].to_numpy(), "floor": rows["floor"].to_numpy()})
+
+    spread = checkpoint(floors.mapInPandas(onward, "query_id long, q binary, shard int, block int, floor double"))
+    found = home.union(against(spread))
     ranked = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
