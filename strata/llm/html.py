@@ -1,21 +1,25 @@
 """Main text of web pages: markup verdicts, and a host suffix array where markup is silent.
 
 A page is read once into blocks. A block inside ``article`` or ``main`` is main
-text, one inside a menu, footer, advert, form and the like is not. For blocks
-that markup leaves open, the token streams of a host's pages are concatenated
-and ranked by prefix doubling, as a suffix array
-is built; substrings of MIN_TOKENS or more, and shorter blocks as a whole, that
-stand on MIN_PAGES distinct pages and a SHARE of the host's are boilerplate. A
-block that they cover by more than half is left out, any other kept whole.
-Pages with the same text are one page for that, so copies of an article are no
+text, one inside a menu, footer, advert, form and the like is not. For pages on
+which markup names no main text, the token streams of the host's pages (all of
+them, main text apart) are concatenated and a suffix array is built with the
+common prefixes of neighbours. Suffixes whose prefixes of MIN_TOKENS agree stand
+together in it; where such a run of suffixes comes from MIN_PAGES distinct pages
+and a SHARE of the host's, the substring is boilerplate, and overlapping ones
+make up long ones. Shorter blocks are compared as a whole. A block that
+boilerplate covers by more than half is left out, any other kept whole. Pages
+with the same text are one page for that, so copies of an article are no
 evidence against it.
 
 Repeats are not held against blocks that markup names main text: mirrored
-articles and passages that many pages share would lose their text by it.
+articles and passages that many pages share would lose their text by it
+(figures in the README).
 
 A host's pages are dealt to shards of about SHARD pages by a hash of the page,
 so the most frequent host is no larger a task than others. What its shards
-find is counted over the whole host before any of them removes it.
+find is counted over the whole host before any of them removes it, whatever
+their number.
 """
 
 from __future__ import annotations
@@ -37,8 +41,6 @@ from strata.llm.simhash import whole_groups
 SHARD, MIN_TOKENS, MIN_PAGES = 1024, 20, 3
 #: Boilerplate stands on this share of a host's pages at least, and on MIN_PAGES.
 SHARE = 0.05
-#: At most so many hosts are dealt to shards of their own, which bounds what is broadcast.
-LARGE_HOSTS = 50_000
 
 OPEN, MAIN, OTHER = 0, 1, 2
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "title", "textarea", "select", "canvas", "audio", "video", "xmp", "noembed", "noframes"}
@@ -152,19 +154,44 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
     return out
 
 
+def suffix_array(streams: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order, tokens that each shares with the one before it), both as far as ``least`` tokens tell.
+
+    Prefix doubling: the ranks by the first 1, 2, 4, ... tokens give the order;
+    the same ranks, widest first, give the common prefixes of neighbours.
+    """
+    n, width = len(streams), 1
+    ranks = {1: np.unique(streams, return_inverse=True)[1].astype(np.int64)}
+    while width < least:
+        step, rank = min(width, least - width), ranks[width]
+        after = np.full(n, -1, np.int64)
+        after[: max(0, n - step)] = rank[step:]
+        width += step
+        ranks[width] = np.unique(rank * (n + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(ranks[width], kind="stable")
+    shared = np.zeros(n, np.int64)
+    a, b = order[:-1].copy(), order[1:].copy()
+    for w in sorted(ranks, reverse=True):
+        live = (a < n) & (b < n)
+        same = np.zeros(len(a), bool)
+        same[live] = ranks[w][a[live]] == ranks[w][b[live]]
+        # A suffix that ends within w tokens equals no other by rank.
+        same &= shared[1:] + w <= least
+        shared[1:] += np.where(same, w, 0)
+        a, b = a + np.where(same, w, 0), b + np.where(same, w, 0)
+    return order, shared
+
+
 def _starts(streams: np.ndarray, runs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(where it starts, rank) of every substring of ``least`` tokens that stays in its block. Equal substrings share a rank."""
+    """(where it starts, number) of every substring of ``least`` tokens that stays in its block. Those with the same number are the same."""
     n = len(streams)
     if n < least:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rank, width = np.unique(streams, return_inverse=True)[1].astype(np.int64), 1
-    while width < least:
-        step = min(width, least - width)
-        after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:]
-        rank, width = np.unique(rank * (n + 2) + after + 1, return_inverse=True)[1].astype(np.int64), width + step
+    order, shared = suffix_array(streams, least)
+    number = np.empty(n, np.int64)
+    number[order] = np.cumsum(shared < least) - 1
     start = np.flatnonzero(runs[: n - least + 1] == runs[least - 1 :])
-    return start, rank[start]
+    return start, number[start]
 
 
 def _covered(n: int, start: np.ndarray, least: int) -> np.ndarray:
@@ -276,34 +303,36 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Blocks are joined by blank lines; nothing is cut short. Repeated rows each
     get a row, and count as one page. Other columns aren't read. An empty
     table gives an empty result.
+
+    Pages are read once, without a shuffle; texts that markup decides are
+    written there and then. Of hosts with a page that it doesn't decide, the
+    blocks outside main text are dealt to shards.
     """
     host = F.lower(F.coalesce(F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    hosts = pages.select(host.alias("host")).groupBy("host").count()
-    total = pages.count()
-    large = hosts.where(F.col("count") > max(SHARD, total // LARGE_HOSTS)).select("host", F.ceil(F.col("count") / SHARD).cast("int").alias("shards"))
-    page = F.xxhash64(F.col("page_id").cast("string"), F.col("url"))
-    # large has under LARGE_HOSTS rows, as each stands for more than total / LARGE_HOSTS pages.
-    dealt = rows.join(F.broadcast(large), "host", "left").select(
-        "page_id", "url", "html", "host", F.when(F.col("shards").isNull(), 0).otherwise(F.pmod(page, "shards")).cast("int").alias("shard")
-    )
-    kind = dict(dealt.dtypes)["page_id"]
-    dealt = dealt.withColumn("page_id", F.col("page_id").cast("string"))
+    kind = dict(pages.dtypes)[id_col]
+    rows = pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     out = "page_id string, url string, text string, n_chars long"
 
-    def told(pdf: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
-        return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": np.array([len(t) for t in texts], np.int64)})
+    def told(pdf: pd.DataFrame, texts: list) -> pd.DataFrame:
+        return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": np.array([len(t or "") for t in texts], np.int64)})
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in whole_groups(batches, ["host", "shard"], least=256):
-            texts: list[str] = []
-            for _, group in pdf.groupby(["host", "shard"], sort=False):
-                texts += main_texts([blocks(h) for h in group["html"]])
-            yield told(pdf, texts)
-
-    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"host": pdf["host"][[undecided(blocks(h)) for h in pdf["html"]]].unique()})
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256].reset_index(drop=True)
+                found = [blocks(h) for h in part["html"]]
+                yield told(part, [None if undecided(p) else main_texts([p])[0] for p in found]).assign(host=part["host"])
+
+    read = checkpoint(rows.mapInPandas(parsed, out + ", host string"))
+    asking = checkpoint(read.where("text is null").select("host").distinct())
+    decided = read.where("text is not null").select("page_id", "url", "text", "n_chars")
+    if asking.isEmpty():
+        return decided.withColumn("page_id", F.col("page_id").cast(kind))
+    # Pages of the hosts that ask, in full; hosts are many and one may be large: AQE splits such a join.
+    shards = read.join(asking.hint("merge"), "host", "left_semi").groupBy("host").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
+    spread = rows.join(checkpoint(shards).hint("merge"), "host")
+    spread = spread.select("page_id", "url", "html", "host", F.pmod(F.xxhash64("page_id", "url", "html"), "shards").cast("int").alias("shard"))
+    spread = spread.repartition("host", "shard")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ["host", "shard"], least=256):
@@ -317,25 +346,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 yield pd.DataFrame({"host": name, "shard": shard, "run": runs, "pages": [np.unique(s.content), *pages]})
 
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        s = Streams([blocks(h) for h in left["html"]])
+        found = [blocks(h) for h in left["html"]]
+        s = Streams(found)
         hashed, which = s.hashes()
-        return told(left, s.texts(np.isin(hashed, right["run"].to_numpy(np.int64))[which]))
-
-    def grouped(rows: DataFrame) -> DataFrame:
-        return rows.repartition("host", "shard").sortWithinPartitions("host", "shard", "page_id", "url")
+        own = np.array([undecided(p) for p in found], bool)
+        texts = s.texts(np.isin(hashed, right["run"].to_numpy(np.int64))[which])
+        return told(left[own].reset_index(drop=True), [t for t, mine in zip(texts, own, strict=True) if mine])
 
-    # A host in one shard is counted there. Of those in several, the ones with a page that needs counts are counted over all of their shards.
-    asked = checkpoint(dealt.join(F.broadcast(large), "host", "left_semi").select("host", "html").mapInPandas(asking, "host string").distinct())
-    if asked.isEmpty():
-        return grouped(dealt).mapInPandas(whole, out).withColumn("page_id", F.col("page_id").cast(kind))
-    spread = dealt.join(F.broadcast(asked), "host", "left_semi")
-    counted = checkpoint(grouped(spread).mapInPandas(count, "host string, shard int, run long, pages array<long>"))
+    counted = spread.sortWithinPartitions("host", "shard", "page_id", "url").mapInPandas(count, "host string, shard int, run long, pages array<long>")
+    # All runs are counted: one that a shard has on a single page may stand on a page of every shard.
+    counted = checkpoint(counted)
     # Each run's pages are made distinct before they are counted, so a run on all of a host's pages spreads over tasks.
     each = counted.select("host", "run", F.explode("pages").alias("page")).distinct().groupBy("host", "run").agg(F.count(F.lit(1)).alias("n"))
     each = checkpoint(each)
     of = each.where("run IS NULL").select("host", F.greatest(F.lit(MIN_PAGES), F.ceil(F.col("n") * F.lit(SHARE))).alias("least"))
-    often = each.where("run IS NOT NULL").join(F.broadcast(of), "host").where("n >= least").select("host", "run")
+    often = each.where("run IS NOT NULL").join(of.hint("merge"), "host").where("n >= least").select("host", "run")
     found = counted.select("host", "shard", "run").join(often.hint("merge"), ["host", "run"])
     mended = spread.groupBy("host", "shard").cogroup(found.groupBy("host", "shard")).applyInPandas(lambda a, b: cut(a, b), out)
-    rest = grouped(dealt.join(F.broadcast(asked), "host", "left_anti")).mapInPandas(whole, out)
-    return rest.union(mended).withColumn("page_id", F.col("page_id").cast(kind))
+    return decided.union(mended).withColumn("page_id", F.col("page_id").cast(kind))
