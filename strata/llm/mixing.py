@@ -12,6 +12,7 @@ executors over 64-bit hashes and per-bin sums.
 from __future__ import annotations
 
 import math
+from collections import deque
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
@@ -22,6 +23,10 @@ from strata.llm.common import WORD, checkpoint
 BINS = 4096
 #: Rounds of first-fit after the first prefix, each over the documents that still fit in what is missing.
 ROUNDS = 4
+#: A pattern whose missing words are under this share of the wanted ones is left at that.
+CLOSE = 1e-4
+#: Distinct sets of sources that the driver's network may have; beyond it mixing raises.
+PATTERNS = 100_000
 
 
 def targets(sizes: dict, weights: dict, total: int | None = None, max_repeats: int = 3) -> dict:
@@ -68,14 +73,15 @@ def route(capacity: dict, quotas: dict, max_repeats: int = 3) -> dict:
     for s in sorted(quotas, key=repr):
         arc(("s", s), end, quotas[s], 0)
     while True:
-        cost, via, todo = {start: 0}, {}, [start]
+        cost, via, todo, waiting = {start: 0}, {}, deque([start]), {start}
         while todo:
-            a = todo.pop(0)
+            waiting.discard(a := todo.popleft())
             for i in out.get(a, ()):
                 b, room, c, _ = arcs[i]
                 if room > 0 and cost[a] + c < cost.get(b, math.inf):
                     cost[b], via[b] = cost[a] + c, i
-                    if b not in todo:
+                    if b not in waiting:
+                        waiting.add(b)
                         todo.append(b)
         if end not in cost:
             break
@@ -90,22 +96,24 @@ def route(capacity: dict, quotas: dict, max_repeats: int = 3) -> dict:
     return {k: arcs[arcs[i][3]][1] for k, i in between.items() if arcs[arcs[i][3]][1]}
 
 
-NONE = "\0null"
+#: A source's name in a pattern: null's is NULL, any other's begins with MARK, so that no string can be taken for null.
+NULL, MARK = "", "="
 
 
-def _facts(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> dict:
-    """Columns over docs: sources (sorted array of strings; null's is NONE), size, hash. They are all that mixing needs of a document.
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """sources (sorted names), size and hash of each row, all that mixing needs of it, and the row itself as a struct, apart from which no name can clash.
 
     The hash that orders the documents covers identifier, text and seed.
     """
     members = F.col(source_col) if dict(docs.dtypes)[source_col].startswith("array") else F.array(F.col(source_col).cast("string"))
     members = F.coalesce(members.cast("array<string>"), F.array(F.lit(None).cast("string")))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return {
-        "_mix_sources": F.sort_array(F.array_distinct(F.transform(members, lambda s: F.coalesce(s, F.lit(NONE))))),
-        "_mix_size": F.regexp_count(text, F.lit(WORD)).cast("long"),
-        "_mix_hash": F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), text),
-    }
+    return docs.select(
+        F.sort_array(F.array_distinct(F.transform(members, lambda s: F.coalesce(F.concat(F.lit(MARK), s), F.lit(NULL))))).alias("sources"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), text).alias("hash"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+    )
 
 
 def _fit(spark, rows: DataFrame, want: dict[int, int]) -> dict[int, list[tuple[int, int, int]]]:
@@ -115,7 +123,9 @@ def _fit(spark, rows: DataFrame, want: dict[int, int]) -> dict[int, list[tuple[i
     among later documents that fit what is missing the longest prefix again,
     and so on: seeded first-fit. A prefix ends in a bin of hashes that is
     divided further until it holds one hash, so no task or driver ever sees
-    more than BINS sums a pattern.
+    more than BINS sums a pattern. At the end a pattern lacks fewer words than
+    CLOSE of the wanted ones or than the document that its last prefix ended
+    before, whichever is more; it never has more than it wants.
     """
     taken: dict[int, list[tuple[int, int, int]]] = {p: [] for p in want}
     missing, low = {p: w for p, w in want.items() if w > 0}, dict.fromkeys(want, -(2**63))
@@ -163,7 +173,7 @@ def _fit(spark, rows: DataFrame, want: dict[int, int]) -> dict[int, list[tuple[i
         for p in list(missing):
             end, lacks = met[p]
             taken[p].append((low[p], 2**63 if end is None else end, most[p]))
-            if end is None or end >= 2**63 - 1 or lacks <= 0 or lacks < want[p] * 1e-4:
+            if end is None or end >= 2**63 - 1 or lacks <= 0 or lacks < want[p] * CLOSE:
                 del missing[p]
             else:
                 low[p], missing[p] = end + 1, lacks
@@ -175,36 +185,38 @@ class Plan:
 
     def __init__(self, docs: DataFrame, weights: dict | None = None, seed: int = 17, max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
         spark = docs.sparkSession
-        self.facts = _facts(docs, id_col, text_col, source_col, seed)
-        rows = checkpoint(docs.select(*(c.alias(k.removeprefix("_mix_")) for k, c in self.facts.items())))
+        self.names = id_col, text_col, source_col, seed
+        rows = checkpoint(_rows(docs, *self.names).select("sources", "size", "hash"))
         # A row a pattern: as many as there are distinct sets of sources.
-        patterns = {tuple(r["sources"]): r["size"] for r in rows.groupBy("sources").agg(F.sum("size").alias("size")).collect()}
-        names = sorted({s for p in patterns for s in p}, key=lambda s: (s == NONE, s))
-        weights = weights or {s: i % 3 + 1 for i, s in enumerate(names)}
+        found = rows.groupBy("sources").agg(F.sum("size").alias("size")).limit(PATTERNS + 1).collect()
+        if len(found) > PATTERNS:
+            raise ValueError(f"documents lie in more than {PATTERNS} distinct sets of sources")
+        patterns = {tuple(r["sources"]): r["size"] for r in found}
+        names = sorted({s for p in patterns for s in p}, key=lambda s: (s == NULL, s))
+        weights = {NULL if s is None else MARK + s: w for s, w in weights.items()} if weights else {s: i % 3 + 1 for i, s in enumerate(names)}
         self.sizes = {s: sum(n for p, n in patterns.items() if s in p) for s in names}
         self.targets = targets(self.sizes, weights, sum(patterns.values()), max_repeats)
         flows = route({p: n for p, n in patterns.items() if n}, self.targets, max_repeats)
-        ids = {p: i for i, p in enumerate(sorted(patterns))}
+        self.patterns = sorted(patterns)
+        by_pattern = dict.fromkeys(self.patterns, Fraction(0))
+        for (p, _), f in flows.items():
+            by_pattern[p] += f
         times, want = {}, {}
-        for p, i in ids.items():
-            words = round(sum(f for (q, _), f in flows.items() if q == p))
-            times[i], want[i] = divmod(words, patterns[p]) if patterns[p] else (0, 0)
-        number = spark.createDataFrame([(list(p), i) for p, i in ids.items()], "sources array<string>, pattern int")
-        chosen = _fit(spark, rows.join(F.broadcast(number), "sources"), want)
+        for i, p in enumerate(self.patterns):
+            times[i], want[i] = divmod(round(by_pattern[p]), patterns[p]) if patterns[p] else (0, 0)
+        number = spark.createDataFrame([(list(p), i) for i, p in enumerate(self.patterns)], "sources array<string>, pattern int")
+        chosen = _fit(spark, rows.join(F.broadcast(number), "sources"), want)  # at most PATTERNS rows are broadcast
         self.table = spark.createDataFrame(
-            [(list(p), times[i], [(a, min(b, 2**63 - 1), b == 2**63, m) for a, b, m in chosen[i]]) for p, i in ids.items()],
-            "_mix_sources array<string>, _mix_times long, _mix_spans array<struct<low: bigint, high: bigint, open: boolean, most: bigint>>",
+            [(list(p), times[i], [(a, min(b, 2**63 - 1), b == 2**63, m) for a, b, m in chosen[i]]) for i, p in enumerate(self.patterns)],
+            "sources array<string>, times long, spans array<struct<low: bigint, high: bigint, open: boolean, most: bigint>>",
         )
 
     def apply(self, docs: DataFrame) -> DataFrame:
-        """docs with _mix_sources, _mix_size and _mix_repeats, the times that a row is taken; texts aren't shuffled."""
-        more = F.exists(
-            "_mix_spans",
-            lambda s: (F.col("_mix_hash") >= s["low"]) & (s["open"] | (F.col("_mix_hash") < s["high"])) & (F.col("_mix_size") <= s["most"]),
-        )
-        marked = docs.withColumns(self.facts).join(F.broadcast(self.table), "_mix_sources", "left")
-        repeats = F.when(F.col("_mix_size") > 0, F.col("_mix_times") + more.cast("long")).otherwise(0)
-        return marked.withColumn("_mix_repeats", repeats).drop("_mix_times", "_mix_spans", "_mix_hash")
+        """sources, size, repeats (the times that a row is taken) and row, a struct of docs' columns; texts aren't shuffled."""
+        more = F.exists("spans", lambda s: (F.col("hash") >= s["low"]) & (s["open"] | (F.col("hash") < s["high"])) & (F.col("size") <= s["most"]))
+        marked = _rows(docs, *self.names).join(F.broadcast(self.table), "sources", "left")
+        repeats = F.when(F.col("size") > 0, F.col("times") + more.cast("long")).otherwise(F.lit(0).cast("long"))
+        return marked.select("sources", "size", repeats.alias("repeats"), "row")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -214,21 +226,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source_size and target are those of the row's source, or the sums over its
     sources. Options: weights by source (by default 1, 2, 3, repeating, in
     code-point order, null last), seed, max_repeats. taken is 0 or the size
-    times 1 to max_repeats. Null and empty texts have size 0 and are never
-    taken; rows that repeat identifier and text are taken alike; an empty table
-    gives an empty result. Other columns aren't read.
+    times 1 to max_repeats; how near a source comes to its target is said at
+    _fit. Null and empty texts have size 0 and are never taken; rows that
+    repeat identifier and text are taken alike; an empty table gives an empty
+    result. Other columns aren't read.
     """
-    plan = Plan(docs.select(id_col, text_col, source_col), id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    docs = docs.select(*dict.fromkeys((id_col, text_col, source_col)))
+    plan = Plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     sizes = docs.sparkSession.createDataFrame(
-        [(list(p), sum(plan.sizes[s] for s in p), float(sum(plan.targets[s] for s in p))) for p in {tuple(r[0]) for r in plan.table.select("_mix_sources").collect()}],
-        "_mix_sources array<string>, source_size long, target double",
+        [(list(p), sum(plan.sizes[s] for s in p), float(sum(plan.targets[s] for s in p))) for p in plan.patterns],
+        "sources array<string>, source_size long, target double",
     )
-    rows = plan.apply(docs.select(id_col, text_col, source_col)).join(F.broadcast(sizes), "_mix_sources")
-    return rows.select(id_col, F.col("_mix_size").alias("size"), "source_size", "target", (F.col("_mix_size") * F.col("_mix_repeats")).alias("taken"))
+    rows = plan.apply(docs).join(F.broadcast(sizes), "sources")
+    return rows.select(F.col("row")[id_col].alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs' rows and columns, a row as often as it is taken."""
-    plan = Plan(docs, **options)
-    taken = plan.apply(docs).where(F.col("_mix_repeats") > 0)
-    return taken.withColumn("_mix_repeats", F.explode(F.sequence(F.lit(1), F.col("_mix_repeats")))).select(*docs.columns)
+    """The mix itself: docs' rows and columns, a row as often as it is taken. Options and cases as of mix()."""
+    taken = Plan(docs, **options).apply(docs).where(F.col("repeats") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select("row.*")
