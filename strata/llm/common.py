@@ -52,3 +52,13 @@ def unused(columns: list[str], name: str) -> str:
         n += 1
         out = f"{name}_{n}"
     return out
+
+
+def within(rows: list, most: int) -> list:
+    """Of rows with a column bytes, in their order, those that fit into what the ones before have left of ``most``."""
+    out = []
+    for r in rows:
+        if r["bytes"] <= most:
+            most -= r["bytes"]
+            out.append(r)
+    return out

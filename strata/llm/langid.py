@@ -5,9 +5,12 @@ unseen word falls back to its longest character n-grams that were seen, and
 from those to shorter ones, down to single letters. Log frequencies are
 smoothed and summed over all words of the whole text.
 
-The fit reads at most SAMPLE rows a language, those of least hash; the tables
-keep at most WORDS words and GRAMS n-grams a language, so the model that goes
-to the executors has a bounded size.
+The fit reads at most SAMPLE rows a language, those of least hash, and of them
+no more than SAMPLE_BYTES of text over all languages, of which there may be
+LANGS; the tables keep at most WORDS words and GRAMS n-grams of each length a
+language, so both the driver and the model that goes to the executors have a
+bounded size. Words that the sample holds once back off to their n-grams, and
+a word adds at most 3 to the counts of its n-grams.
 """
 
 from __future__ import annotations
@@ -19,9 +22,13 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.common import unused, within
+
+#: Languages that may be learnt, and bytes of text that the fit reads at most.
+LANGS, SAMPLE_BYTES = 1_000, 64 << 20
 SAMPLE, WORDS, GRAMS, LONGEST = 2_000, 40_000, 30_000, 4
 UNKNOWN = "und"
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
@@ -105,19 +112,43 @@ class Model:
         return self.langs[best], float(share[best] / share.sum())
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, keep=None) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, keep=None, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model of docs' rows with a language and a text, at most ``sample`` a language; ``keep`` restricts them.
 
-    The rows are those of least hash of the identifier. The number of
-    languages bounds what reaches the driver.
+    The rows are those of least hash of identifier and text; rows with a null
+    identifier are passed over, and a text that repeats under its identifier
+    counts once. A share of the hashes, set by the number of rows of a
+    language, finds them without a sort of all rows, so no language lands in
+    one task. A text that doesn't fit what is left of ``sample_bytes`` is
+    passed over; over LANGS languages raise.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.where(keep) if keep is not None else rows
-    slim = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where("id is not null")
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = slim.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample).select("lang", "id")
-    texts = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    got = texts.join(F.broadcast(chosen.distinct()), ["lang", "id"]).select("lang", "id", "text").collect()
+    text = F.col(text_col)
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"), text.alias("text"), F.octet_length(text).alias("bytes"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(LANGS + 1).collect()}
+    if len(counts) > LANGS:
+        raise ValueError(f"more than {LANGS} languages")
+    chosen: dict[str, list] = {}
+    share = 1.5
+    while missing := [x for x in counts if x not in chosen]:
+        # At most LANGS rows are broadcast; about share * sample rows a language come back.
+        limits = [(x, -(2**63) + min(2**64 - 1, math.ceil(2**64 * share * sample / counts[x]))) for x in missing]
+        limits = docs.sparkSession.createDataFrame(limits, "lang string, most long")
+        found: dict[str, set] = {x: set() for x in missing}
+        for r in rows.join(F.broadcast(limits), "lang").where("h <= most").select("lang", "h", "id", "bytes").distinct().collect():
+            found[r["lang"]].add((r["h"], r["id"], r["bytes"]))
+        for x, some in found.items():
+            if len(some) >= sample or share * sample >= counts[x]:
+                chosen[x] = sorted(some)[:sample]
+        share *= 4
+    # Languages take turns, so that none is left without texts when the bytes run out.
+    turns = sorted((n, x, h, i, size) for x, some in chosen.items() for n, (h, i, size) in enumerate(some))
+    fits = within([{"bytes": size, "row": (x, i, h)} for _, x, h, i, size in turns], sample_bytes)
+    if not fits:
+        return Model([])
+    picked = docs.sparkSession.createDataFrame([r["row"] for r in fits], "lang string, id string, h long")
+    got = rows.join(F.broadcast(picked), ["lang", "id", "h"]).dropDuplicates(["lang", "id", "h"]).select("lang", "id", "text").collect()
     return Model([(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["lang"], r["id"], r["text"]))])
 
 
@@ -135,5 +166,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         model = shared.value
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    out = docs.withColumn("_strata_found", predicted(F.col(text_col)))
-    return out.withColumns({"lang_pred": F.col("_strata_found.lang_pred"), "score": F.col("_strata_found.score")}).drop("_strata_found")
+    found = unused(docs.columns, "_found")
+    out = docs.withColumn(found, predicted(F.col(text_col)))
+    return out.withColumns({"lang_pred": F.col(f"{found}.lang_pred"), "score": F.col(f"{found}.score")}).drop(found)

@@ -7,8 +7,9 @@ in clean ones; a logistic regression is fitted over these values. Scoring is
 one pass of table look-ups over whole texts.
 
 The fit reads labelled rows only, at most SAMPLE toxic and 2 * SAMPLE clean
-ones, those of least hash: that bound is what makes it independent of the size
-of the corpus. The n-grams of those rows are counted over their whole texts.
+ones, those of least hash, and of them no more than SAMPLE_BYTES of text: these
+bounds are what makes it independent of the size of the corpus. The n-grams of
+those rows are counted over their whole texts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 2_500
+from strata.llm.common import within
+
+SAMPLE, SAMPLE_BYTES = 2_500, 64 << 20
 NGRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 20
 #: So many features keep a weight: those with the largest chi-square.
@@ -119,23 +122,33 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return Model(weight, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, keep=None) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, keep=None, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model of the labelled rows of docs; ``keep`` (a column of the id) restricts them.
 
     A document labelled more than once counts as toxic if any label says so;
-    null labels and ids are passed over. Where more rows are labelled than the
-    bound allows, those with the least hash of id and text are taken.
+    null labels and ids are passed over; a text is learnt once, however often
+    it stands there under one identifier. Where more rows are labelled than
+    the bounds allow, those with the least hash of id and text are taken,
+    ``sample`` toxic and twice as many clean ones; a text that doesn't fit
+    what is left of ``sample_bytes`` is passed over.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     marks = marks.where(keep) if keep is not None else marks
-    marks = marks.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    order = F.xxhash64("_id", "_y")
-    chosen = {y: marks.where(F.col("_y") == y).orderBy(order, "_id").limit(n) for y, n in ((1, sample), (0, 2 * sample))}
+    marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    order = F.xxhash64("id", "y")
+    chosen = {y: marks.where(F.col("y") == y).orderBy(order, "id").limit(n) for y, n in ((1, sample), (0, 2 * sample))}
+    text = F.coalesce(F.col(text_col), F.lit(""))
     # At most 3 * sample identifiers: a size that the parameter bounds.
-    rows = texts.join(F.broadcast(chosen[1].union(chosen[0])), "_id").select("_id", "_text", "_y").collect()
-    rows = sorted(rows, key=lambda r: (r["_id"], r["_text"]))
-    return fit([r["_text"] for r in rows], [r["_y"] for r in rows])
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(chosen[1].union(chosen[0])), "id").withColumn("h", F.xxhash64("text"))
+    # Identifiers may repeat without bound: sizes first, of as many rows as the sample has, then the texts of those that fit.
+    sizes = rows.select("id", "y", "h", F.octet_length("text").alias("bytes")).distinct().orderBy(F.xxhash64("id", "h"), "id", "h").limit(3 * sample).collect()
+    fits = within(sizes, sample_bytes)
+    if not fits:
+        return fit([], [])
+    some = docs.sparkSession.createDataFrame([(r["id"], r["h"]) for r in fits], f"id {dict(rows.dtypes)['id']}, h long")
+    got = rows.join(F.broadcast(some), ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "text", "y").collect()
+    got = sorted(got, key=lambda r: (r["id"], r["text"]))
+    return fit([r["text"] for r in got], [r["y"] for r in got])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -218,9 +218,79 @@ def test_fit_narrows_to_single_hashes(spark):
 
 def test_mixing_overlapping_sources(spark):
     rng = random.Random(9)
-    rows = [(i, words(rng, 10), rng.choice([["a"], ["a", "b"], ["b"], None])) for i in range(400)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
-    assert len(got) == 400 and sum(r["taken"] for r in got) > 3500
+    rows = [(i, words(rng, rng.randrange(1, 20)), rng.choice([["a"], ["a", "b"], ["b"], None, ["\0null"], ["b", "a", "b"]])) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    got = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    patterns = Counter()
+    for _, t, x in rows:
+        patterns[tuple(sorted({"=" + y for y in x} if x else {""}))] += len(t.split())
+    names = ["=\0null", "=a", "=b", ""]
+    sizes = {x: sum(n for p, n in patterns.items() if x in p) for x in names}
+    goal = mixing.targets(sizes, {x: i % 3 + 1 for i, x in enumerate(names)}, sum(patterns.values()))
+    flow = mixing.route(dict(patterns), goal)
+    for p, n in patterns.items():
+        mine = [got[i] for i, _, x in rows if tuple(sorted({"=" + y for y in x} if x else {""})) == p]
+        assert {(r["source_size"], r["target"]) for r in mine} == {(sum(sizes[x] for x in p), float(sum(goal[x] for x in p)))}
+        wanted = float(sum(f for (q, _), f in flow.items() if q == p))
+        assert wanted - 20 <= sum(r["taken"] for r in mine) <= wanted + 1
+
+
+def brute_route(capacity, quotas, repeats):
+    """(words routed, least cost) over all ways in whole numbers."""
+    import itertools
+
+    arcs = [(p, s) for p in capacity for s in p]
+    best = (0, 0)
+    for flow in itertools.product(*(range(min(quotas[s], repeats * capacity[p]) + 1) for p, s in arcs)):
+        by_pattern, by_source = Counter(), Counter()
+        for (p, s), f in zip(arcs, flow, strict=True):
+            by_pattern[p] += f
+            by_source[s] += f
+        if any(by_source[s] > q for s, q in quotas.items()) or any(f > repeats * capacity[p] for p, f in by_pattern.items()):
+            continue
+        cost = sum(sum(min(capacity[p], max(0, f - r * capacity[p])) * (r + 1) for r in range(repeats)) for p, f in by_pattern.items())
+        best = max(best, (sum(flow), -cost))
+    return best[0], -best[1]
+
+
+def test_route_is_the_cheapest_of_the_largest_flows():
+    rng = random.Random(3)
+    for _ in range(25):
+        sources = ["a", "b", "c"][: rng.randrange(2, 4)]
+        capacity = {p: rng.randrange(1, 3) for p in rng.sample([("a",), ("b",), ("a", "b")] + ([("b", "c"), ("a", "b", "c")] if len(sources) == 3 else []), rng.randrange(2, 4))}
+        quotas = {s: rng.randrange(0, 4) for s in sources}
+        flow = mixing.route(capacity, quotas, 2)
+        by_pattern = Counter()
+        for (p, _), f in flow.items():
+            by_pattern[p] += f
+        cost = sum(sum(min(capacity[p], max(0, f - r * capacity[p])) * (r + 1) for r in range(2)) for p, f in by_pattern.items())
+        assert (sum(flow.values()), cost) == brute_route(capacity, quotas, 2)
+
+
+def brute_mixed(rows, goal, sizes):
+    """Times each (doc_id, text) is taken: rows are (doc_id, text, source, hash); every source is a pattern of its own."""
+    times = {}
+    for source, size in sizes.items():
+        whole, left = divmod(round(goal[source]), size) if size else (0, 0)
+        mine = sorted(((h, i, t, len(WORDS.findall(t or ""))) for i, t, s, h in rows if s == source))
+        more, want, low, want0 = set(), left, 0, left
+        for _ in range(mixing.ROUNDS + 1):
+            if not want or want < want0 * mixing.CLOSE:
+                break
+            most, at = want, low
+            while at < len(mine):
+                h = mine[at][0]
+                same = [k for k in range(at, len(mine)) if mine[k][0] == h]
+                fits = [k for k in same if 0 < mine[k][3] <= most]
+                at += len(same)
+                if sum(mine[k][3] for k in fits) > want:
+                    break
+                more |= set(fits)
+                want -= sum(mine[k][3] for k in fits)
+            low = at
+        for k, (_, i, t, n) in enumerate(mine):
+            times[i, t] = (whole + (k in more)) if n else 0
+    return times
 
 
 def toxic_fixture(spark):
@@ -252,6 +322,127 @@ def test_toxicity(spark):
     assert model.score(long) == pytest.approx(model.score("w1 w1 w1 zorkish"), abs=0.2)
 
 
+def brute_grams(text):
+    """Buckets of a text's n-grams, each hashed on its own."""
+    chars = [32 if c in "\t\n\x0b\x0c\r" else ord(c) for c in f" {text.lower()} "]
+    out = set()
+    for n in toxicity.NGRAMS:
+        for i in range(len(chars) - n + 1):
+            h = 0
+            for c in chars[i : i + n]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ (c * 0x9E3779B1 & 0xFFFFFFFF)
+            h ^= n * 0x85EBCA6B & 0xFFFFFFFF
+            h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+            out.add((h ^ h >> 13) & toxicity.BUCKETS - 1)
+    return out
+
+
+def test_toxicity_against_a_plain_fit():
+    """Sets of buckets, a dense matrix of log-count ratios and the same descent, written out."""
+    rng = random.Random(16)
+    texts = [" ".join([words(rng, rng.randrange(1, 12), 40), *(["zork"] * (i % 3 == 0))]) for i in range(90)] + ["", "A\tB"]
+    labels = [int(i % 3 == 0 or i % 17 == 0) for i in range(90)] + [0, 1]
+    held = [brute_grams(t) for t in texts]
+    y = np.array(labels, float)
+    n1, n0 = y.sum(), (1 - y).sum()
+    kept = []
+    for g in sorted(set().union(*held)):
+        a = sum(g in x for x, label in zip(held, labels, strict=True) if label)
+        b = sum(g in x for x, label in zip(held, labels, strict=True) if not label)
+        if a + b >= 3 and a + b < n0 + n1:
+            chi = (n0 + n1) * (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n0 + n1 - a - b) * n0 * n1)
+            if chi > 6.6:
+                kept.append((g, np.log((a + 1) / (n1 + 2) / ((b + 1) / (n0 + 2)))))
+    x = np.array([[r if g in grams else 0.0 for g, r in kept] for grams in held])
+    share = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0)) / len(y)
+    w, m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    for t in range(1, toxicity.STEPS + 1):
+        error = share * (1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y)
+        grad = np.r_[x.T @ error + toxicity.RIDGE * w[:-1] / len(y), error.sum()]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    model = toxicity.fit(texts, labels)
+    assert len(kept) > 5 and {g for g, _ in kept} == set(np.flatnonzero(model.weight).tolist())
+    for text, row in zip(texts, x, strict=True):
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-(row @ w[:-1] + w[-1]))), abs=1e-4)
+
+
+def test_bounds_on_bytes_and_names_of_ones_own(spark):
+    rows = [(1, "zork a"), (1, "zork a"), (1, "other"), (2, "b" * 500), (3, "c"), (None, "d"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'mine' AS _score", "'mine' AS _found", "7 AS y", "'x' AS lang")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.train(df, marks, sample_bytes=100)
+    seen = toxicity.fit(["zork a", "other", "c", ""], [1, 1, 0, 0])
+    assert got.score("zork a") == pytest.approx(seen.score("zork a")) and got.bias == pytest.approx(seen.bias)
+    told = langid.predict(df, langid.train(df, sample_bytes=100)).collect()
+    assert {r["_found"] for r in told} == {r["_score"] for r in told} == {"mine"} and {r["lang_pred"] for r in told} == {"x", "und"}
+    twice = spark.createDataFrame([(i, "w1 w2", "a", 7) for i in range(4)], "doc_id long, text string, source string, _mix_size long")
+    assert {tuple(r)[2:] for r in mixing.mixed(twice).collect()} == {("a", 7)}
+    odd = twice.selectExpr("doc_id", "text", "source", "1 AS size", "2 AS hash", "3 AS row", "4 AS sources", "5 AS _print", "6 AS _gone", "7 AS _digest", "8 AS far", "9 AS cell")
+    for out in (mixing.mixed(odd), simhash.drop_near(odd), exact.drop_exact(odd)):
+        assert out.columns == odd.columns and {tuple(r)[3:] for r in out.collect()} == {(1, 2, 3, 4, 5, 6, 7, 8, 9)}
+    vectors = spark.createDataFrame([(i, [float(i)], i, 1, 2) for i in range(3)], "vec_id long, embedding array<double>, far long, shard int, asked int")
+    assert topk.topk(vectors, vectors.vec_id == 0).count() == 2
+
+
+def brute_language(learn, texts, longest=4):
+    """The likeliest language of each text and its share, from plain counts."""
+    import math
+
+    langs = sorted({x for x, _ in learn})
+    count = {x: Counter(w for y, t in learn if y == x for w in langid.words(t)) for x in langs}
+    cut = lambda w, n: [(f"<{w}>" if n > 1 else w)[i : i + n] for i in range(max(1, len(w) + 2 * (n > 1) - n + 1))]
+    tables = [{x: Counter({w: n for w, n in count[x].items() if n > 1}) for x in langs}]
+    for n in range(1, longest + 1):
+        tables.append({x: Counter(g for w, k in count[x].items() for g in cut(w, n) for _ in range(min(k, 3))) for x in langs})
+    known = [set().union(*t.values()) for t in tables]
+    value = lambda t, g, x: math.log((tables[t][x][g] + 0.5) / (sum(tables[t][x].values()) + 0.5 * (len(known[t]) + 1)))
+    for text in texts:
+        found = langid.words(text or "")
+        if not found or not any(c.isalpha() for c in "".join(found)):
+            yield "und", 0.0
+            continue
+        total = {x: math.log((sum(y == x for y, _ in learn) + 1) / (len(learn) + len(langs))) for x in langs}
+        for w in found:
+            grams, table = [w], 0
+            for t, gs in [(0, [w]), *((n, cut(w, n)) for n in range(longest, 0, -1))]:
+                grams, table = [g for g in gs if g in known[t]], t
+                if grams:
+                    break
+            for x in langs:
+                total[x] += sum(value(table, g, x) for g in grams) / len(grams) if grams else 0
+        best = min(langs, key=lambda x: (-total[x], x))
+        yield best, 1 / sum(math.exp(total[x] - total[best]) for x in langs)
+
+
+def test_language_against_plain_counts(spark):
+    rng = random.Random(21)
+    vocabulary = {"en": "the of and with this from ness wording", "de": "der und mit nicht schön für heit von", "fr": "le la avec être où ment des"}
+    text = lambda x: " ".join(rng.choice(vocabulary[x].split()) + rng.choice(["", "", "s", "en"]) for _ in range(rng.randrange(1, 9)))
+    learn = [(x, text(x)) for x in rng.choices([*vocabulary], k=60)]
+    asked = [text(rng.choice([*vocabulary])) for _ in range(60)] + [None, "", "12 34", "zzz qqq", "über-the 7 ÊTRE"]
+    rows = [(i, t, x) for i, (x, t) in enumerate(learn)] + [(100 + i, t, None) for i, t in enumerate(asked)] + [(None, "der der", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, langid.train(df)).where("doc_id >= 100").collect()}
+    for i, (lang, share) in enumerate(brute_language(learn, asked)):
+        assert got[100 + i][0] == lang and got[100 + i][1] == pytest.approx(share, abs=1e-4)
+
+
+def test_language_sample_is_that_of_least_hash(spark):
+    rows = [(i, f"word{i} stays", "big" if i % 9 else "small") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    order = df.selectExpr("lang", "text", "xxhash64(cast(doc_id AS string), text) AS h").collect()
+    want = {t for x in ("big", "small") for _, t in sorted((r["h"], r["text"]) for r in order if r["lang"] == x)[:50]}
+    learnt = set()
+    original = langid.Model
+    try:
+        langid.Model = lambda samples: learnt.update(t for _, t in samples)
+        langid.train(df, sample=50)
+    finally:
+        langid.Model = original
+    assert learnt == want
+
+
 def test_language(spark):
     langs = {"en": "the of and with this from ness", "de": "der und mit nicht schön für heit", "fr": "le la avec être où ment"}
     rng, rows = random.Random(7), []
@@ -303,13 +494,70 @@ def test_repeated_against_brute_force():
 
 
 def test_html_table(spark):
-    rows = [(i, f"http://h{i % 3}.org/{i}", PAGE.format(f"<article><p>text {i}</p></article>")) for i in range(50)] + [(90, None, None), (91, "bad", ""), (1, "http://h1.org/1", PAGE.format("<article>again</article>"))]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("none", "host")
+    rows = [(i, f"http://h{i % 3}.org/{i}", PAGE.format(f"<article><p>text {i}</p></article>"), i, "t", 5) for i in range(50)]
+    rows += [(90, None, None, 0, None, 0), (91, "bad", "", 0, None, 0), (1, "http://h1.org/1", PAGE.format("<article>again</article>"), 0, None, 0), (None, None, "<article>no id", 0, None, 0)]
+    # Columns named like those that the operator makes for itself.
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host long, text string, shard int")
     got = html.extract(df).collect()
-    assert Counter((r["page_id"], r["text"], r["n_chars"]) for r in got) == Counter([(i, f"text {i}", len(f"text {i}")) for i in range(50)] + [(90, "", 0), (91, "", 0), (1, "again", 5)])
+    want = [(i, f"text {i}", len(f"text {i}")) for i in range(50)] + [(90, "", 0), (91, "", 0), (1, "again", 5), (None, "no id", 5)]
+    assert Counter((r["page_id"], r["text"], r["n_chars"]) for r in got) == Counter(want)
     assert html.extract(df.limit(0)).count() == 0
 
 
+def brute_main_texts(pages, least=20):
+    """Of (id, blocks outside markup that names them) of one host: runs of words as tuples, whole short blocks too, against the pages that hold them."""
+    where, said = defaultdict(set), {}
+    runs = lambda t: [tuple(w[i : i + least]) for w in [t.split()] for i in range(max(1, len(w) - least + 1))]
+    for i, parts in pages:
+        said[i] = tuple(parts)
+        for t in parts:
+            for r in runs(t):
+                where[r].add(said[i])
+    need = max(3, -(-len(set(said.values())) // 20))
+    out = {}
+    for i, parts in pages:
+        kept = []
+        for t in parts:
+            w = t.split()
+            covered = set()
+            for k, r in enumerate(runs(t)):
+                if len(where[r]) >= need:
+                    covered |= set(range(k, k + max(least, len(w)) if len(w) < least else k + least))
+            if 2 * len([c for c in covered if c < len(w)]) <= len(w):
+                kept.append(t)
+        out[i] = "\n\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("n", [900, 1030, 5000])
+def test_html_of_a_host_of_any_size(spark, n):
+    rng, pages = random.Random(n), []
+    notice, other = words(rng, 26, 9000), words(rng, 8, 9000)
+    for i in range(n):
+        parts = [words(rng, 24, 9000)]
+        # A notice on a tenth, a short block on a twelfth, a rare one on a fiftieth, and a notice within a longer block.
+        parts += [notice] * (i % 10 == 0) + [other] * (i % 12 == 1) + ["seldom seen here"] * (i % 50 == 2) + [f"{words(rng, 3)} {notice} {words(rng, 2)}"] * (i % 30 == 3)
+        pages.append((i, parts))
+    pages += [(n + i, pages[5][1]) for i in range(n // 9)]
+    rows = [(i, "https://one.org/x", "<body>" + "".join(f"<div>{t}</div>" for t in parts)) for i, parts in pages]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    want = brute_main_texts(pages)
+    assert {r["page_id"]: r["text"] for r in got.collect()} == want
+    assert notice not in want[10] and want[2].endswith("seldom seen here") and other not in want[1] and want[n] == want[5]
+
+
+def test_suffix_array_and_common_prefixes():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        n, least = int(rng.integers(1, 40)), int(rng.integers(1, 24))
+        stream = rng.integers(0, 3, n)
+        order, shared = html.suffix_array(stream, least)
+        found = [tuple(stream[i : i + least]) for i in order]
+        assert found == sorted(found) and shared[0] == 0
+        for a, b, k in zip(found, found[1:], shared[1:], strict=False):
+            assert a[:k] == b[:k] and (k >= min(len(a), len(b)) or a[k] != b[k])
+
+
 def test_html_counts_over_all_shards_of_a_host(spark, monkeypatch):
     monkeypatch.setattr(html, "SHARD", 4)
     notice = "<div>please accept the terms of this fine site before reading any further page of it or leave now for good</div>"
@@ -457,6 +705,50 @@ def test_oracles(spark, sf_dir):
         assert got == sorted(con.execute(f"SELECT {cols} FROM ({sql})").fetchall())
 
 
+def test_pipeline_against_plain_stages(spark, sf_dir):
+    """run() row for row: each stage written out in Python over the model, hashes and tokenizer that the operators share."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = [r for r in docs.collect() if model.score(r["text"]) < 0.5]
+    keep = {}
+    for r in rows:
+        keep[r["text"] or ""] = max(keep.get(r["text"] or "", r["doc_id"]), r["doc_id"])
+    rows = [r for r in rows if r["doc_id"] == keep[r["text"] or ""]]
+    least = {w[2] for w in brute_groups([(r["doc_id"], brute_print(r["text"])) for r in rows], 4)}
+    rows = [r for r in rows if r["doc_id"] in least]
+    hashed = {r[0]: r[1] for r in spark.createDataFrame([(r["doc_id"], r["text"] or "") for r in rows], "i long, t string").selectExpr("i", "xxhash64(17, cast(i AS string), t) AS h").collect()}
+    sizes = Counter()
+    for r in rows:
+        sizes[r["source"]] += len(WORDS.findall(r["text"] or ""))
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    goal = mixing.targets({s: sizes[s] for s in names}, {s: i % 3 + 1 for i, s in enumerate(names)})
+    times = brute_mixed([(r["doc_id"], r["text"], r["source"], hashed[r["doc_id"]]) for r in rows], goal, {s: sizes[s] for s in names})
+    t, want = library(), Counter()
+    for r in rows:
+        ids = t.encode(r["text"] or "", add_special_tokens=False).ids
+        want[r["doc_id"], len(ids), np.array(ids, "<u4").tobytes()] += times[r["doc_id"], r["text"]]
+    got = corpus_pipeline.run(spark, sf_dir)
+    assert Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in got.collect()) == +want
+    assert len(rows) < docs.count() and sum(want.values()) > 50
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf_dir):
+    """Nulls, empties, repeats, clashing columns and an empty table, stage by stage."""
+    import corpus_pipeline
+
+    rows = [(1, "a b c", None, None, 3), (1, "a b c", None, None, 3), (None, None, None, "x", None), (2, "", "en", "x", 0), (None, "d e", "en", "y", 3)]
+    odd = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS _score", "2 AS _digest", "3 AS hash", "4 AS n_tokens")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf_dir)
+        assert "_score" in out.columns and out.columns.count("n_tokens") == 1 and out.where("_score <> 1 OR hash <> 3").count() == 0
+        none = stage(spark, odd.limit(0), sf_dir)
+        assert none.count() == 0 and none.columns == out.columns, name
+    kept = {name: stage(spark, odd, sf_dir).count() for name, stage in corpus_pipeline.STAGES}
+    assert kept["toxicity"] == 5 and kept["exact dedup"] == 3 and kept["BPE encoding and decoding"] == 5
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
