@@ -625,15 +625,12 @@ def test_token_counts_query(spark, sf_dir):
 
 
 def brute_spans(rows, length=50):
-    where = defaultdict(set)
-    split = {}
-    for d, text in rows:
-        w = (text or "").split()
-        split[d] = w
+    where, out = defaultdict(set), []
+    texts = {(d, t): WORDS.findall(t) for d, t in rows if d is not None and t}
+    for (d, _), w in texts.items():
         for i in range(len(w) - length + 1):
             where[tuple(w[i : i + length])].add(d)
-    out = []
-    for d, w in split.items():
+    for (d, _), w in texts.items():
         end = None
         for i in range(len(w) - length + 1):
             if len(where[tuple(w[i : i + length])]) > 1:
@@ -654,12 +651,17 @@ def test_suffix_dedup(spark, chunk, monkeypatch):
     shared = [words(rng, n, 5000) for n in (49, 50, 51, 80, 200)]
     for i in range(120):
         rows.append((i, " ".join([words(rng, rng.randrange(0, 60), 5000), rng.choice(shared), words(rng, rng.randrange(0, 60), 5000), rng.choice(shared)])))
-    rows += [(200, shared[1]), (201, words(rng, 60, 1)), (202, words(rng, 300, 5000) + " " + shared[3] + " " + shared[3]), (203, None), (204, "")]
+    rows += [(200, shared[1]), (201, words(rng, 60, 1)), (202, words(rng, 300, 5000) + " " + shared[3] + " " + shared[3]), (203, None), (204, ""), (None, shared[4])]
+    # One identifier on two texts, with repeats at different places, once more as it stands, and a passage in its texts alone.
+    base, own = words(rng, 90, 5000).split(), words(rng, 70, 5000)
+    rows += [(5, " ".join(base[:60]) + " x " + own), (5, " ".join(["y"] * 30 + base[30:])), (5, own), (5, own), (206, " ".join(base))]
+    # The same words with one changed in the middle, and passages that agree to the left in one pair and to the right in another.
+    rows += [(210, " ".join(base[:40] + ["z"] + base[41:])), (211, " ".join(base[20:70])), (212, " ".join(base[40:] + base[:45]))]
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, suffix_dedup.repeats(df).collect()))
     assert got == brute_spans(rows)
-    assert not any(r[0] in (201, 203, 204) for r in got)
+    assert (5, 0, 60, 60) in got and (5, 30, 90, 60) in got and not any(r[0] in (201, 203, 204, None) for r in got)
     assert suffix_dedup.repeats(df.limit(0)).count() == 0
 
 
