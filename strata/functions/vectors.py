@@ -27,9 +27,14 @@ def unit(v: Column) -> Column:
 
 
 def _counted(buckets: Column, dims: int) -> Column:
-    """How many tokens fall into each bucket, at length one."""
-    count = lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: (F.size(bs) - F.size(F.array_remove(bs, d))).cast("double"))
-    return unit(let(buckets, count))
+    """How many tokens fall into each bucket, at length one.
+
+    With one of each bucket beside them, sorted buckets tell it by where each
+    number stands first.
+    """
+    first = lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dims)), lambda d: F.array_position(bs, d))
+    count = lambda at: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: (at[d + 1] - at[d] - 1).cast("double"))
+    return unit(let(F.array_sort(F.concat(buckets, F.sequence(F.lit(0), F.lit(dims)))), lambda bs: let(first(bs), count)))
 
 
 def hash_embedding(text: Column, dims: int = 64) -> Column:

@@ -8,18 +8,37 @@ from pyspark.sql import functions as F
 from strata.functions.text import estimate_tokens, has_prose, let, units
 
 
-def overlap_tail(held: Column, overlap: int) -> Column:
-    """The last units whose tokens fit the overlap: at least one, and none for an overlap of nought."""
+def tail_start(sizes: Column, start: Column, end: Column, overlap: int) -> Column:
+    """Where the last units of start..end (end excluded) begin whose tokens fit the overlap: at least one, and none for an overlap of nought."""
     if overlap <= 0:
-        return F.slice(held, 1, 0)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("size"), F.lit(False).alias("full"))
+        return end
+    none = F.struct(F.lit(0).alias("taken"), F.lit(0).alias("size"), F.lit(False).alias("full"))
 
-    def step(s: Column, u: Column) -> Column:
-        stop = s["full"] | (s["size"] >= overlap) | ((s["size"] + estimate_tokens(u) > overlap) & (F.size(s["out"]) > 0))
-        out, size = F.concat(F.array(u), s["out"]), s["size"] + estimate_tokens(u)
-        return F.struct(F.when(stop, s["out"]).otherwise(out).alias("out"), F.when(stop, s["size"]).otherwise(size).alias("size"), stop.alias("full"))
+    def step(s: Column, n: Column) -> Column:
+        stop = s["full"] | (s["size"] >= overlap) | ((s["size"] + n > overlap) & (s["taken"] > 0))
+        return F.struct(F.when(stop, s["taken"]).otherwise(s["taken"] + 1).alias("taken"), F.when(stop, s["size"]).otherwise(s["size"] + n).alias("size"), stop.alias("full"))
 
-    return F.aggregate(F.reverse(held), start, step, lambda s: s["out"])
+    return end - F.aggregate(F.reverse(F.slice(sizes, start + 1, end - start)), none, step, lambda s: s["taken"])
+
+
+def spans(sizes: Column, target: int, overlap: int) -> Column:
+    """Where each chunk of units of these sizes begins and ends (a, b; b excluded). Only numbers are folded; no unit is copied."""
+    state = lambda out, start, size: F.struct(out.alias("out"), start.cast("int").alias("start"), size.cast("int").alias("size"))
+    none = F.array().cast("array<struct<a: int, b: int>>")
+    part = lambda a, b: F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
+    numbered = lambda ns: F.transform(ns, lambda n, i: F.struct(n.alias("n"), i.alias("i")))
+    total = lambda ns, a, b: F.aggregate(F.slice(ns, a + 1, b - a), F.lit(0), lambda s, n: s + n)
+
+    def folded(ns: Column) -> Column:
+        def step(s: Column, u: Column) -> Column:
+            full = (s["size"] + u["n"] > target) & (u["i"] > s["start"])
+            again = let(tail_start(ns, s["start"], u["i"], overlap), lambda a: state(F.concat(s["out"], part(s["start"], u["i"])), a, total(ns, a, u["i"]) + u["n"]))
+            return F.when(full, again).otherwise(state(s["out"], s["start"], s["size"] + u["n"]))
+
+        end = lambda s: F.when(F.size(ns) > 0, F.concat(s["out"], part(s["start"], F.size(ns)))).otherwise(none)
+        return F.aggregate(numbered(ns), state(none, F.lit(0), F.lit(0)), step, end)
+
+    return let(sizes, folded)
 
 
 def packed(text: Column, target: int = 800, overlap: int | None = 100) -> Column:
@@ -27,20 +46,8 @@ def packed(text: Column, target: int = 800, overlap: int | None = 100) -> Column
     target = target if target > 0 else 800
     overlap = 0 if overlap is None else 100 if overlap <= 0 else overlap
     overlap = target // 4 if overlap >= target else overlap
-    total = lambda us: F.aggregate(us, F.lit(0), lambda s, u: s + estimate_tokens(u))
-    state = lambda done, held, size: F.struct(done.alias("done"), held.alias("held"), size.cast("int").alias("size"))
-    none = F.array().cast("array<string>")
-
-    def step(s: Column, u: Column) -> Column:
-        full = (s["size"] + u["size"] > target) & (F.size(s["held"]) > 0)
-        done = F.when(full, F.concat(s["done"], F.array(F.array_join(s["held"], "\n\n")))).otherwise(s["done"])
-        kept = F.when(full, overlap_tail(s["held"], overlap)).otherwise(s["held"])
-        after = lambda kept: state(done, F.concat(kept, F.array(u["text"])), F.when(full, total(kept)).otherwise(s["size"]) + u["size"])
-        return let(kept, after)
-
-    end = lambda s: F.when(F.size(s["held"]) > 0, F.concat(s["done"], F.array(F.array_join(s["held"], "\n\n")))).otherwise(s["done"])
-    sized = F.transform(units(text, target), lambda u: F.struct(u.alias("text"), estimate_tokens(u).alias("size")))
-    return F.aggregate(sized, state(none, none, F.lit(0)), step, end)
+    joined = lambda us: F.transform(spans(F.transform(us, estimate_tokens), target, overlap), lambda s: F.array_join(F.slice(us, s["a"] + 1, s["b"] - s["a"]), "\n\n"))
+    return let(units(text, target), joined)
 
 
 def chunk(docs: DataFrame, target: int = 800, overlap: int | None = 100, least_words: int = 0) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.text import citations, cite, fact_found
+from strata.functions.text import citations, cite, fact_found, fields
+from strata.operators.sized import pair_with_all, small
 
 CAP = 12
+#: Words in a row by which a passage is looked for.
+RUN = 5
 
 
 def merge(arrivals: DataFrame, cap: int = CAP) -> DataFrame:
@@ -82,3 +85,23 @@ def recall(ranked: DataFrame, probes: DataFrame, k: int) -> DataFrame:
         F.coalesce(F.sum((F.col("rank") == 1).cast("long")), F.lit(0)).alias("at_1"),
         F.coalesce(F.sum((F.col("rank") <= k).cast("long")), F.lit(0)).alias("at_k"),
     )
+
+
+def holders(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """query_id, id: the documents in which each passage (query_id, text) stands as it is.
+
+    A passage's words after its first (which may be the end of a document's
+    word) meet the documents' runs of RUN words by a hash; what meets is then
+    held against the whole passage. Passages with fewer words are held against
+    every document.
+    """
+    asked = passages.select("query_id", F.col("text").alias("passage"), fields(F.col("text")).alias("w"))
+    run = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, RUN), " "))
+    long = asked.where(F.size("w") >= RUN + 2).select("query_id", "passage", run(F.col("w"), F.lit(2)).alias("run"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), fields(F.col(text_col)).alias("w"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - RUN + 1), lambda i: run(F.col("w"), i))
+    met = rows.where(F.size("w") >= RUN).select("id", F.explode(F.array_distinct(runs)).alias("run")).join(small(long.select("query_id", "run")), "run").select("id", "query_id")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(small(met.distinct()), "id").join(small(long.select("query_id", "passage")), "query_id")
+    found = found.where(F.col("t").contains(F.col("passage"))).select("query_id", "id")
+    short = asked.where(F.size("w") < RUN + 2).select("query_id", "passage")
+    return found.union(pair_with_all(rows.select("id", "t"), short).where(F.col("t").contains(F.col("passage"))).select("query_id", "id")).distinct()

@@ -43,12 +43,13 @@ def entities_of(entities: DataFrame, relations: DataFrame | None = None) -> Data
 def merge_candidates(entities: DataFrame) -> DataFrame:
     """variant, canonical: an entity that is the ending of one other, longer by at most GROWTH words, and of no second one.
 
-    Joined on the last word, so only entities that share it meet.
+    A longer name offers its endings that lack 1 to GROWTH words; a variant
+    meets them by equality, so names that share their last word alone don't meet.
     """
-    keys = entities.select("key", F.split("key", " ").alias("words"))
-    keys = keys.select("key", F.size("words").alias("n"), F.element_at("words", -1).alias("last"))
-    longer = keys.select(F.col("key").alias("canonical"), F.col("n").alias("m"), "last")
-    pairs = keys.join(longer, "last").where((F.col("m") > F.col("n")) & (F.col("m") - F.col("n") <= GROWTH) & F.col("canonical").endswith(F.concat(F.lit(" "), F.col("key"))))
+    words = entities.select("key", F.split("key", " ").alias("words"))
+    cut = F.transform(F.sequence(F.lit(1), F.lit(GROWTH)), lambda n: F.when(F.size("words") > n, F.array_join(F.slice("words", n + 1, F.size("words") - n), " ")))
+    endings = words.select(F.col("key").alias("canonical"), F.explode(cut).alias("key")).where("key is not null")
+    pairs = endings.join(entities.select("key"), "key")
     return pairs.groupBy(F.col("key").alias("variant")).agg(F.count(F.lit(1)).alias("n"), F.min("canonical").alias("canonical")).where("n = 1").select("variant", "canonical")
 
 

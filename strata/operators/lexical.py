@@ -38,10 +38,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    flat = words.select("id", F.size("words").alias("len"), F.explode("words").alias("term"))
-    matched = flat.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    # Every document has a row without a term, which carries its length to the statistics: texts are read and split once.
+    flat = words.select("id", F.size("words").alias("len"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
+    hit = small(asked.select("term").distinct().withColumn("hit", F.lit(True)))
+    kept = flat.join(hit, "term", "left").where(F.col("term").isNull() | F.col("hit")).groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf")).persist()
+    matched, ends = kept.where("term is not null"), kept.where("term is null")
     df = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(docs, text_col).withColumn("mean", F.col("total_len") / F.col("n"))
+    stats = ends.agg(F.sum("tf").alias("n"), F.coalesce(F.sum(F.col("len") * F.col("tf")), F.lit(0)).alias("total_len")).withColumn("mean", F.try_divide("total_len", "n"))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(stats))  # statistics: one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = weighted.select("query_id", "term", (F.col("qtf") * idf).alias("weight"), "mean")

@@ -298,19 +298,41 @@ def word_windows(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.word_windows(F.col("text"), 100)).alias("position", "part"))
 
 
-@query(
-    f"""WITH s AS (SELECT doc_id, [x FOR x IN {SENTENCES} IF x <> ''] AS s, len({flds('text')}) * 4 // 3 AS n FROM documents),
-    u AS (SELECT doc_id, n, unnest(s) AS u, generate_subscripts(s, 1) AS i FROM s WHERE n > 400), w AS (SELECT doc_id, i, len({flds('u')}) AS w FROM u),
-    v AS (SELECT doc_id, i, 0 AS j, w * 4 // 3 AS n FROM w WHERE w * 4 // 3 <= 400 UNION ALL
-          SELECT doc_id, i, a, least(300, w - a) * 4 // 3 FROM (SELECT doc_id, i, w, unnest(range(0, w, 300)) AS a FROM w WHERE w * 4 // 3 > 400)),
-    l AS (SELECT doc_id, list({{'n': n, 'held': n, 'chunk': 0}} ORDER BY i, j) AS l FROM v GROUP BY doc_id)
-    SELECT doc_id, CAST(CASE WHEN n <= 400 THEN (length(trim(text, chr(9) || chr(10) || chr(12) || chr(13) || ' ')) > 0)::INT
-      ELSE list_reduce(l, lambda a, b: {{'n': b.n, 'held': CASE WHEN a.held + b.n > 400 THEN b.n ELSE a.held + b.n END, 'chunk': CASE WHEN a.held + b.n > 400 THEN a.chunk + 1 ELSE a.chunk END}}).chunk + 1 END AS INTEGER) AS chunks
-    FROM s JOIN documents USING (doc_id) LEFT JOIN l USING (doc_id)"""
-)
+PACKED = f"""
+    s AS (SELECT doc_id, [x FOR x IN {SENTENCES} IF x <> ''] AS s, text FROM documents),
+    k AS (SELECT doc_id, CASE WHEN len({flds('text')}) * 4 // 3 <= 400 THEN [trim(text, chr(9) || chr(10) || chr(12) || chr(13) || ' ')] ELSE s END AS s FROM s),
+    u AS (SELECT doc_id, unnest(s) AS u, generate_subscripts(s, 1) AS i FROM k),
+    v AS (SELECT doc_id, i, 0 AS j, u, len({flds('u')}) * 4 // 3 AS n FROM u WHERE len({flds('u')}) * 4 // 3 <= 400 UNION ALL
+          SELECT doc_id, i, a, array_to_string(w[a + 1 : a + 300], ' '), len(w[a + 1 : a + 300]) * 4 // 3 FROM (SELECT doc_id, i, {flds('u')} AS w, unnest(range(0, len({flds('u')}), 300)) AS a FROM u WHERE len({flds('u')}) * 4 // 3 > 400)),
+    o AS (SELECT doc_id, u, n, row_number() OVER d AS k, sum(n) OVER d AS upto FROM v WHERE u <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY i, j)),
+    t AS (SELECT a.doc_id, a.k, coalesce(min(b.k), a.k - 1) AS tail FROM o a LEFT JOIN o b ON b.doc_id = a.doc_id AND b.k < a.k AND a.upto - a.n - (b.upto - b.n) <= {{overlap}} GROUP BY 1, 2),
+    p AS (SELECT o.*, t.tail FROM o JOIN t USING (doc_id, k)),
+    f AS (SELECT doc_id, k, 1 AS start, 0 AS chunk, upto - upto AS gone FROM p WHERE k = 1 UNION ALL
+          SELECT p.doc_id, p.k, CASE WHEN p.upto - f.gone > 400 THEN greatest(f.start, p.tail) ELSE f.start END, CASE WHEN p.upto - f.gone > 400 THEN f.chunk + 1 ELSE f.chunk END,
+                 CASE WHEN p.upto - f.gone > 400 THEN (SELECT x.upto - x.n FROM o x WHERE x.doc_id = p.doc_id AND x.k = greatest(f.start, p.tail)) ELSE f.gone END
+          FROM f JOIN p ON p.doc_id = f.doc_id AND p.k = f.k + 1),
+    c AS (SELECT doc_id, chunk, min(start) AS a, max(k) AS b FROM f GROUP BY 1, 2)
+    SELECT c.doc_id, CAST(chunk AS INTEGER) AS position, CAST(count(*) AS INTEGER) AS units, md5(string_agg(o.u, chr(10) || chr(10) ORDER BY o.k)) AS digest FROM c JOIN o ON o.doc_id = c.doc_id AND o.k BETWEEN a AND b GROUP BY 1, 2"""
+
+
+def packed_chunks(spark, sf_dir, overlap):
+    """Per chunk, how many units it holds and the digest of its text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", T.units(F.col("text"), 400).alias("u"), chunking.packed(F.col("text"), 400, overlap).alias("chunks"))
+    spans = chunking.spans(F.transform("u", T.estimate_tokens), 400, overlap or 0)
+    both = docs.select("doc_id", F.posexplode(F.zip_with("chunks", spans, lambda c, s: F.struct(c.alias("text"), (s["b"] - s["a"]).alias("units")))).alias("position", "c"))
+    return both.select("doc_id", "position", "c.units", F.md5("c.text").alias("digest"))
+
+
+@query("WITH RECURSIVE " + PACKED.replace("{overlap}", "0").replace("coalesce(min(b.k), a.k - 1)", "a.k"))
 def chunk_pack(spark, sf_dir):
-    """How many chunks of about 400 tokens, without overlap, every document packs into."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(chunking.packed(F.col("text"), 400, None)).alias("chunks"))
+    """Chunks of about 400 tokens, without overlap: their units and their texts."""
+    return packed_chunks(spark, sf_dir, None)
+
+
+@query("WITH RECURSIVE " + PACKED.replace("{overlap}", "60"))
+def chunk_overlap(spark, sf_dir):
+    """Chunks of about 400 tokens, each beginning with the units that end the one before, 60 tokens or one unit of them."""
+    return packed_chunks(spark, sf_dir, 60)
 
 
 @query(
@@ -396,7 +418,7 @@ def entity_table(spark, sf_dir):
     return graph.entities_of(none, relations(spark, sf_dir)).select("key", "name", "ord")
 
 
-NAMES = f"""n AS (SELECT DISTINCT {key('c_name')} AS key FROM customer UNION SELECT DISTINCT {key("regexp_replace(c_name, '^[^#]+#', '')")} FROM customer)"""
+NAMES = f"""n AS (SELECT DISTINCT {key('p_name')} AS key FROM part UNION SELECT DISTINCT {key("regexp_replace(p_name, '^[^ ]+ ', '')")} FROM part)"""
 
 
 @query(
@@ -404,10 +426,10 @@ NAMES = f"""n AS (SELECT DISTINCT {key('c_name')} AS key FROM customer UNION SEL
     " WHERE len(string_split(b.key, ' ')) - len(string_split(a.key, ' ')) BETWEEN 1 AND 2) SELECT variant, min(canonical) AS canonical FROM p GROUP BY variant HAVING count(*) = 1"
 )
 def coref_candidates(spark, sf_dir):
-    """Customers' numbers, and the one full name that ends with each."""
-    customer = read(spark, sf_dir, "customer")
-    short = customer.select(T.entity_key(F.regexp_replace("c_name", "^[^#]+#", "")).alias("key"))
-    return graph.merge_candidates(customer.select(T.entity_key(F.col("c_name")).alias("key")).union(short).distinct())
+    """Part names without their first word, and the one full name that ends with them; many share their last word."""
+    part = read(spark, sf_dir, "part")
+    short = part.select(T.entity_key(F.regexp_replace("p_name", "^[^ ]+ ", "")).alias("key"))
+    return graph.merge_candidates(part.select(T.entity_key(F.col("p_name")).alias("key")).union(short).distinct())
 
 
 ASKED = "q AS (SELECT r_regionkey AS query_id, 'Who lives in ' || n.n_name || ' of the ' || r_name || '?' AS text FROM region JOIN (SELECT n_regionkey, min(n_name) AS n_name FROM nation GROUP BY 1) n ON n_regionkey = r_regionkey)"
@@ -548,11 +570,8 @@ def meta_questions(spark, sf_dir):
 )
 def recall_at_k(spark, sf_dir):
     """Recall of the documents that passages stand in, as one batch of searches."""
-    from strata.operators.sized import pair_with_all
-
     docs, passages = read(spark, sf_dir, "documents"), questions(spark, sf_dir)
-    held = pair_with_all(docs.select("doc_id", F.col("text").alias("t")), passages).where(F.col("t").contains(F.col("text")))
-    probes = held.groupBy("query_id").agg(F.min("doc_id").alias("source_id"))
+    probes = evidence.holders(docs, passages).groupBy("query_id").agg(F.min("id").alias("source_id"))
     return evidence.recall(lexical.bm25(docs, passages, 20, "doc_id"), probes, 20)
 
 
