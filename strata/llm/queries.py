@@ -54,19 +54,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat files: doc_id, n_tokens, file, ordinal, start.
 
     The documents are encoded into files without an index, closed by the first
-    id beyond the vocabulary, so that no text can hold a separator; the files
+    id beyond the vocabulary, so that no text can hold a separator (16 bits an id); the files
     are then read in ranges and searched. doc_id comes from the order in which
     the documents were written. The files go when they have been scanned. Null
     and empty texts have no tokens; rows that repeat an identifier each have a
     row; an empty table gives an empty result.
     """
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    separator = 49_408
+    separator, width = 49_408, 2
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tokens-{uuid.uuid4()}")
     system = place.getFileSystem(spark._jsc.hadoopConfiguration())
     # A row of a few bytes a document is kept here; the ids stand in the files only.
-    written = checkpoint(token_scan.write_files(docs, system.makeQualified(place).toString(), separator, bpe.encoder(docs, tokenizer_file())))
-    counts = token_scan.count_tokens(token_scan.ranges(written.where("bytes is not null").select("file", "bytes")), separator)
+    written = checkpoint(token_scan.write_files(docs, system.makeQualified(place).toString(), separator, bpe.encoder(docs, tokenizer_file()), width=width))
+    counts = token_scan.count_tokens(token_scan.ranges(written.where("bytes is not null").select("file", "bytes"), width), separator, width)
     system.delete(place, True)
     names = written.select("file", "ordinal", F.col("doc").cast("long").alias("doc_id"))
     return counts.join(names, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")

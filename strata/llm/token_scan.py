@@ -154,17 +154,19 @@ def stitch(found: DataFrame) -> DataFrame:
     return crossing.union(rest).union(inside)
 
 
-def write_files(docs: DataFrame, folder: str, separator: int, encoder, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs as flat files of 32-bit ids below folder, one per task; file, bytes, ordinal, doc (the identifier as a string) of every document.
+def write_files(docs: DataFrame, folder: str, separator: int, encoder, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """docs as flat files of ids of ``width`` bytes below folder, one per task; file, bytes, ordinal, doc (the identifier as a string) of every document.
 
     folder is a URI that all executors see. encoder: makes, in a task, a
-    function from a text to packed ids. A document ends with the separator;
+    function from a text to packed 32-bit ids, none above the separator. A document ends with the separator;
     nothing else marks its border. Every attempt of a task writes a file of its
     own name, and only the rows of the attempt that counts name its file, so
     the result must be kept (checkpointed) before it is read twice. bytes
     stands on a file's last document alone.
     """
-    end = np.array([separator], "<u4").tobytes()
+    end = np.array([separator], WIDTHS[width]).tobytes()
+    if int.from_bytes(end, "little") != separator:
+        raise ValueError(f"{width} bytes don't hold {separator}")
 
     def run(batches: Iterator) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -179,9 +181,10 @@ def write_files(docs: DataFrame, folder: str, separator: int, encoder, id_col: s
                     part = pdf.iloc[at : at + 2000]
                     for text in part["text"]:
                         ids = encode(text)
+                        ids = ids if width == 4 else np.frombuffer(ids, "<u4").astype(WIDTHS[width]).tobytes()
                         out.write(ids)
                         out.write(end)
-                        written += len(ids) + 4
+                        written += len(ids) + width
                     if held is not None:
                         yield held
                     held = pd.DataFrame({"file": target, "bytes": pd.array([None] * len(part), dtype="Int64"), "ordinal": np.arange(ordinal, ordinal + len(part)), "doc": part["id"].to_numpy(object)})
