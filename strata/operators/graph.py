@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions.text import entity_key, is_enumeration, trimmed
-from strata.operators.sized import small
+from strata.operators.sized import kept, small
 
 #: Words that a variant's canonical form may add to it.
 GROWTH = 2
@@ -61,11 +61,11 @@ def majority(votes: DataFrame, asked: int = 3) -> DataFrame:
 
 def resolve(merges: DataFrame) -> DataFrame:
     """variant, canonical with chains followed to their end. Canonical names are longer than variants, so there is no cycle; each round doubles the reach."""
-    current = merges
+    current = kept(merges)
     while True:
         ahead = current.select(F.col("variant").alias("canonical"), F.col("canonical").alias("next"))
         current = current.join(ahead, "canonical", "left").select("variant", F.coalesce("next", "canonical").alias("canonical"), F.col("next").isNotNull().alias("moved"))
-        current = current.cache()
+        current = kept(current)
         if current.where("moved").isEmpty():
             return current.select("variant", "canonical")
         current = current.select("variant", "canonical")
@@ -74,11 +74,11 @@ def resolve(merges: DataFrame) -> DataFrame:
 def canonicalize(entities: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, edges, aliases) after confirmed merges (variant, canonical): variants go, edges are rewritten, self-loops and repeats (in the very same relation) dropped."""
     aliases = resolve(merges)
-    kept = entities.join(aliases.select(F.col("variant").alias("key")), "key", "left_anti")
+    stay = entities.join(aliases.select(F.col("variant").alias("key")), "key", "left_anti")
     a, b = aliases.select(F.col("variant").alias("src"), F.col("canonical").alias("s")), aliases.select(F.col("variant").alias("dst"), F.col("canonical").alias("d"))
     moved = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"), "relation", "chunk_id", "ord")
     rewritten = moved.where("src <> dst").groupBy("src", "dst", "relation", "chunk_id").agg(F.min("ord").alias("ord"))
-    return kept, rewritten, aliases
+    return stay, rewritten, aliases
 
 
 def seeds(entities: DataFrame, queries: DataFrame, aliases: DataFrame | None = None, longest: int = 8) -> DataFrame:

@@ -86,3 +86,13 @@ def load(spark: SparkSession, path: str, model: str = "") -> DataFrame:
     if model and told[0]["model"] and model != told[0]["model"]:
         raise UnusableIndex(f"{path} was embedded by {told[0]['model']}, not {model}")
     return chunks
+
+
+def entries(chunks: DataFrame) -> DataFrame:
+    """The index in its order: by document and position."""
+    return chunks.orderBy("doc_id", "position", "chunk_id")
+
+
+def add(chunks: DataFrame, more: DataFrame) -> DataFrame:
+    """chunks with others that have vectors already; one whose id is there replaces the old one."""
+    return chunks.join(more.select("chunk_id"), "chunk_id", "left_anti").unionByName(more)

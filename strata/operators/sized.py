@@ -1,7 +1,9 @@
-"""Broadcasts behind a check of the size, with another way beyond it."""
+"""Broadcasts behind a check of the size, with another way beyond it, and results that are kept."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +25,15 @@ def pair_with_all(rows: DataFrame, queries: DataFrame, most: int = MOST_ROWS) ->
 def small(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most ``most`` rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once, without its lineage, in the folder that ``spark.checkpoint.dir`` names; a temporary one serves a local master alone."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strata-"))
+    return df.checkpoint(eager=True)
