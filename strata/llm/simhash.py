@@ -33,7 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import checkpoint, unused
@@ -68,17 +68,24 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """id_col and fingerprint (the 64 bits as a signed long) of every row."""
-    kind = dict(docs.dtypes)[id_col]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, digest: bool = False) -> DataFrame:
+    """id_col and fingerprint (the 64 bits as a signed long) of every row; with ``digest``, text_digest as well (text_digest() of its text)."""
+    kind, more = dict(docs.dtypes)[id_col], ["text_digest"] if digest else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             bits = np.array([fingerprint(t, k) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": pdf["id"], "fingerprint": bits})
+            yield pdf[["id", *more]].assign(fingerprint=bits)
 
-    ids = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return ids.mapInPandas(run, "id string, fingerprint long").select(F.col("id").cast(kind).alias(id_col), "fingerprint")
+    digests = [text_digest(F.col(text_col)).alias("text_digest")] * digest
+    ids = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), *digests)
+    schema = "".join(f"{c} binary, " for c in more)
+    return ids.mapInPandas(run, f"id string, {schema}fingerprint long").select(F.col("id").cast(kind).alias(id_col), "fingerprint", *more)
+
+
+def text_digest(text: Column) -> Column:
+    """MD5 of a text, null counting as empty: equal texts have one fingerprint, so a row is known by its identifier and this."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def reach(limit: int, blocks: int, picked: int) -> int:
@@ -285,35 +292,32 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     when the smallest is taken. An empty table gives an empty result. Other
     columns of docs aren't read.
     """
-    prints = checkpoint(fingerprints(docs, id_col, text_col, k))
+    named = _named(checkpoint(fingerprints(docs, id_col, text_col, k)), id_col, limit, blocks, picked)
+    return named.select(id_col, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _named(prints: DataFrame, id_col: str, limit: int, blocks: int | None, picked: int) -> DataFrame:
+    """prints, each row with its component_id."""
     firsts = checkpoint(prints.groupBy("fingerprint").agg(F.min(id_col).alias("first")))
     linked = components(near_links(firsts, limit, blocks, picked))
     least = linked.join(firsts.hint("merge"), F.col("node") == F.col("fingerprint")).groupBy("root").agg(F.min("first").alias("least"))
     small = linked.join(checkpoint(least).hint("merge"), "root").select(F.col("node").alias("fingerprint"), "least")
     named = checkpoint(firsts.join(small, "fingerprint", "left").select("fingerprint", F.coalesce("least", "first").alias("component_id")))
-    return prints.join(named.hint("merge"), "fingerprint").select(
-        id_col, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return prints.join(named.hint("merge"), "fingerprint")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, limit: int = LIMIT, blocks: int | None = None, picked: int = 1) -> DataFrame:
     """The rows of docs whose identifier is the smallest of their component, with all their columns.
 
     Rows that repeat that identifier are one document given more than once and
     all stay; a row with a null identifier stays only where its component has
-    no other. Texts are joined to the verdicts by identifier and fingerprint,
-    which is computed again for that, so the verdict on one text never falls
-    on another text of the same identifier.
+    no other. Texts are joined to the verdicts by identifier and a digest of
+    the text, so the verdict on one text never falls on another text of the
+    same identifier, and fingerprints are computed once.
     """
-    k = options.get("k", SHINGLE)
-
-    @F.pandas_udf("long")
-    def printed(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, k) for t in texts], dtype=np.uint64).view(np.int64))
-
-    groups = simhash_groups(docs, id_col, text_col, **options)
-    gone_id, lost, own = (unused(docs.columns, n) for n in ("_gone", "_lost", "_print"))
-    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(gone_id), F.col("fingerprint").alias(lost)).distinct()
-    marked = docs.withColumn(own, F.lpad(F.lower(F.hex(printed(F.col(text_col)))), 16, "0"))
+    named = _named(checkpoint(fingerprints(docs, id_col, text_col, k, digest=True)), id_col, limit, blocks, picked)
+    gone_id, lost, own = (unused(docs.columns, n) for n in ("_gone", "_lost", "_digest"))
+    gone = named.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(gone_id), F.col("text_digest").alias(lost)).distinct()
+    marked = docs.withColumn(own, text_digest(F.col(text_col)))
     same = marked[id_col].eqNullSafe(gone[gone_id]) & (marked[own] == gone[lost])
     return marked.join(gone.hint("merge"), same, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
