@@ -54,6 +54,17 @@ def grams(text: str, sizes: tuple[int, ...] = NGRAMS) -> Iterator[np.ndarray]:
                 yield (mixed ^ (mixed >> np.uint32(13))) & np.uint32(BUCKETS - 1)
 
 
+def held(text: str | None) -> np.ndarray:
+    """Buckets of the text's n-grams, each once, in order."""
+    return once([*grams(text)]) if text else np.zeros(0, np.uint32)
+
+
+def once(found: list[np.ndarray]) -> np.ndarray:
+    """The distinct numbers of all arrays, in order; sorted, as np.unique takes five times as long over hashes."""
+    every = np.sort(np.concatenate(found or [np.zeros(0, np.uint32)]))
+    return every[np.append(True, every[1:] != every[:-1])[: len(every)]]
+
+
 @dataclass
 class Model:
     """weight: by bucket, log-count ratio times coefficient. bias: the score of a text without features, as a logit."""
@@ -63,7 +74,7 @@ class Model:
 
     def logit(self, text: str | None) -> float:
         found = [g[self.weight[g] != 0] for g in grams(text)] if text else []
-        return self.bias + float(self.weight[np.unique(np.concatenate(found))].sum()) if found else self.bias
+        return self.bias + float(self.weight[once(found)].sum()) if found else self.bias
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -500, 500))))
@@ -76,7 +87,6 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     counts = np.zeros((2, BUCKETS), np.float64)
-    held = lambda text: np.unique(np.concatenate([*grams(text or "")] or [np.zeros(0, np.uint32)]))
     for text, label in zip(texts, y.astype(int), strict=True):
         counts[label, held(text)] += 1
     n0, n1 = float((y == 0).sum()), float((y == 1).sum())
