@@ -140,39 +140,40 @@ class Forest:
 
 
 def _links(group: np.ndarray, side: np.ndarray, bits: np.ndarray, vantage: np.ndarray, limit: int) -> np.ndarray:
-    """Pairs (i, j) of one group within the limit. vantage: each row's vantage point; side: bit 1 and bit 2 tell whether a row is of the first and second of its group's two parts."""
-    n, out, step = len(bits), [], 1
+    """A spanning forest of the pairs of one group within the limit, as (member, another member of its component). vantage: each row's vantage point; side: bit 1 and bit 2 tell whether a row is of the first and second of its group's two parts.
+
+    Components are merged as pairs are found; the pairs aren't kept, so memory grows with the rows and not with their square.
+    """
+    n, step = len(bits), 1
     far = np.bitwise_count(bits ^ vantage).astype(np.int16)
     order = np.lexsort((far, group))
     group, side, bits, far = group[order], side[order], bits[order], far[order]
-    alive = np.arange(n)
+    alive, label = np.arange(n), np.arange(n)
     while True:
         alive = alive[alive + step < n]
         alive = alive[(group[alive] == group[alive + step]) & (far[alive + step] - far[alive] <= limit)]
         if not len(alive):
             break
-        hit = alive[(np.bitwise_count(bits[alive] ^ bits[alive + step]) <= limit) & ((side[alive] | side[alive + step]) == 3)]
-        if len(hit):
-            out.append(np.stack([order[hit], order[hit + step]]))
+        apart = alive[label[alive] != label[alive + step]]
+        hit = apart[(np.bitwise_count(bits[apart] ^ bits[apart + step]) <= limit) & ((side[apart] | side[apart + step]) == 3)]
+        label = _merged(label, hit, hit + step)
         step += 1
-    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    member = np.flatnonzero(label != np.arange(n))
+    return np.stack([order[member], order[label[member]]])
 
 
-def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
-    """Of the pairs, (member, least member) for each connected component of two or more."""
-    label = np.arange(n)
-    a, b = pairs
-    while True:
-        low = np.minimum(label[a], label[b])
-        was = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
-        if (label == was).all():
-            break
-    member = np.unique(pairs)
-    member = member[label[member] != member]
-    return np.stack([member, label[member]])
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label, after the components of each a[i] and b[i] become one. A row's label is the first row of its component."""
+    while len(a):
+        x, y = label[a], label[b]
+        up = np.arange(len(label))
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while ((top := up[up]) != up).any():
+            up = top
+        label = up[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
 
 
 def near_links(points: DataFrame, limit: int = LIMIT, blocks: int | None = None, picked: int = 1, sample: int = SAMPLE, leaf_cap: int = LEAF) -> DataFrame:
@@ -226,10 +227,9 @@ def near_links(points: DataFrame, limit: int = LIMIT, blocks: int | None = None,
         for pdf in whole_groups(batches, group):
             new = np.logical_or.reduce([np.diff(pdf[c].to_numpy()) != 0 for c in group])
             values = pdf["fingerprint"].to_numpy(np.int64)
-            pairs = _links(np.cumsum(np.r_[0, new]), pdf["side"].to_numpy(), values.view(np.uint64), forest.point[pdf["leaf"].to_numpy()], limit)
-            if pairs.shape[1]:
-                member, least = _forest(pairs, len(values))
-                yield pd.DataFrame({"a": values[member], "b": values[least]})
+            member, other = _links(np.cumsum(np.r_[0, new]), pdf["side"].to_numpy(), values.view(np.uint64), forest.point[pdf["leaf"].to_numpy()], limit)
+            if len(member):
+                yield pd.DataFrame({"a": values[member], "b": values[other]})
 
     return dealt.mapInPandas(compare, "a long, b long")
 

@@ -768,3 +768,41 @@ def test_pipeline_stages(spark, sf_dir):
     texts = [r["text"] for r in docs.collect()]
     t = library()
     assert sorted(r["n_tokens"] for r in out.collect()) == sorted(len(t.encode(x or "", add_special_tokens=False).ids) for x in texts)
+
+
+def test_links_connect_what_all_pairs_connect():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n = int(rng.integers(1, 90))
+        group, side = np.sort(rng.integers(0, 3, n)), rng.integers(1, 4, n)
+        base = rng.integers(0, 2**63, 3).astype(np.uint64)
+        bits = base[rng.integers(0, 3, n)].copy()
+        for _ in range(int(rng.integers(0, 5))):
+            bits ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+
+        def least(pairs, n=n):
+            up = list(range(n))
+
+            def root(x):
+                return x if up[x] == x else root(up[x])
+
+            for a, b in pairs:
+                up[max(root(a), root(b))] = min(root(a), root(b))
+            return [root(i) for i in range(n)]
+
+        pairs = [(i, j) for i in range(n) for j in range(i) if group[i] == group[j] and (side[i] | side[j]) == 3 and int(bits[i] ^ bits[j]).bit_count() <= 4]
+        member, other = simhash._links(group, side, bits, np.full(n, base[0]), 4)
+        assert least(zip(member.tolist(), other.tolist(), strict=True)) == least(pairs)
+        assert len(set(member.tolist())) == len(member)  # a forest: a link a row at most
+
+
+def test_links_of_a_crowded_cell_take_memory_by_rows():
+    import tracemalloc
+
+    n, rng = 8192, np.random.default_rng(5)
+    bits = np.full(n, np.uint64(99)) ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
+    tracemalloc.start()
+    member, _ = simhash._links(np.zeros(n, int), np.full(n, 3), bits, np.full(n, np.uint64(99)), 4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(member) == n - 1 and most < 16 << 20  # all pairs would take over 500 MB
