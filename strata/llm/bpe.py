@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 SHORT = 64
 NONE = 1 << 60
-#: Distinct runs that a worker remembers; beyond it, its memory is emptied.
+#: Distinct runs that a task remembers in each of two generations; a worker keeps none of them for later tasks, of this operator or another.
 CACHE = 400_000
 #: Letters that the installed regex module knows and the tokenizers library's tables don't yet.
 TOO_NEW = (
@@ -66,6 +66,10 @@ class Known(dict):
             self[key] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class Bpe:
     """A tokenizer read from a tokenizers JSON file of the word-end kind."""
@@ -218,15 +222,18 @@ def bpe(docs: DataFrame, tokenizer_file: str | Path, text_col: str = "text", kee
         import pyarrow as pa
 
         model = _loaded(broadcast.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                got = [model.encode(t) for t in part.column("text").to_pylist()]
-                ids = pa.array([a for a, _ in got], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("others"), pa.array([len(a) // 4 for a, _ in got], pa.int64()), ids, pa.array([b for _, b in got], pa.string())],
-                    names=["others", "n_tokens", "ids", "decoded"],
-                )
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    got = [model.encode(t) for t in part.column("text").to_pylist()]
+                    ids = pa.array([a for a, _ in got], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("others"), pa.array([len(a) // 4 for a, _ in got], pa.int64()), ids, pa.array([b for _, b in got], pa.string())],
+                        names=["others", "n_tokens", "ids", "decoded"],
+                    )
+        finally:
+            model.known.forget()
 
     done = rows.mapInArrow(run, f"others {kind}, n_tokens bigint, ids binary, decoded string")
     return done.select(*[F.col("others")[c].alias(c) for c in keep], "n_tokens", "ids", "decoded")
