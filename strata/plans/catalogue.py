@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from strata.functions import text as T
 from strata.functions.vectors import doubles, dot, md5_embedding, unit
 from strata.operators import chunking, cluster, evidence, graph, lexical, memory, router, search
+from strata.operators.sized import spread
 from strata.plans import compat, guard
 from strata.sources import cache, tables
 from strata.streaming.ingest import windowed_counts
@@ -317,10 +318,8 @@ PACKED = f"""
 
 def packed_chunks(spark, sf_dir, overlap):
     """Per chunk, how many units it holds and the digest of its text."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", T.units(F.col("text"), 400).alias("u"), chunking.packed(F.col("text"), 400, overlap).alias("chunks"))
-    spans = chunking.spans(F.transform("u", T.estimate_tokens), 400, overlap or 0)
-    both = docs.select("doc_id", F.posexplode(F.zip_with("chunks", spans, lambda c, s: F.struct(c.alias("text"), (s["b"] - s["a"]).alias("units")))).alias("position", "c"))
-    return both.select("doc_id", "position", "c.units", F.md5("c.text").alias("digest"))
+    chunks = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(chunking.packs(F.col("text"), 400, overlap)).alias("position", "c"))
+    return chunks.select("doc_id", "position", "c.units", F.md5("c.text").alias("digest"))
 
 
 @query("WITH RECURSIVE " + PACKED.replace("{overlap}", "0").replace("coalesce(min(b.k), a.k - 1)", "a.k"))

@@ -40,4 +40,6 @@ def session(app: str = "strata", master: str | None = None, **conf: str) -> Spar
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
