@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from strata.functions.text import citations, cite, fact_found, fields
-from strata.operators.sized import pair_with_all, small
+from strata.operators.ranked import numbered
+from strata.operators.sized import MOST_ROWS, pair_with_all, small
 
 CAP = 12
 #: Words in a row by which a passage is looked for.
 RUN = 5
+#: Bytes of passages that may be sent to every executor.
+MOST_BYTES = 64 << 20
 
 
 def merge(arrivals: DataFrame, cap: int = CAP) -> DataFrame:
@@ -90,7 +95,40 @@ def recall(ranked: DataFrame, probes: DataFrame, k: int) -> DataFrame:
 def holders(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """query_id, id: the documents in which each passage (query_id, text) stands as it is.
 
-    A passage's words after its first (which may be the end of a document's
+    A batch of passages goes to every executor and each text is read once: a
+    passage is held against the texts that have its longest inner word (the
+    first and the last may be parts of a document's words), one without inner
+    words against every text. Batches beyond MOST_ROWS passages or MOST_BYTES
+    are joined by runs of words.
+    """
+    asked = passages.where(F.col("text").isNotNull())
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).collect()[0]
+    if size["n"] > MOST_ROWS or size["bytes"] > MOST_BYTES:
+        return _holders_joined(docs, passages, id_col, text_col)
+    batch = [(r["query_id"], r["text"].encode()) for r in asked.select("query_id", "text").collect()]
+    anchored, bare = {}, []
+    for i, (_, passage) in enumerate(batch):
+        inner = passage.split()[1:-1]
+        (anchored.setdefault(max(inner, key=len), []) if inner else bare).append((i, passage))
+
+    def standing(batches):
+        for part in batches:
+            row, query = [], []
+            for at, text in enumerate(part.column(1).to_pylist()):
+                if text is not None:
+                    met = [p for w in anchored.keys() & text.split() for p in anchored[w]]
+                    there = [i for i, passage in met + bare if passage in text]
+                    row += [at] * len(there)
+                    query += there
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), part.column(0).take(pa.array(row, pa.int64()))], ["query", "id"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    found = texts.mapInArrow(standing, StructType([StructField("query", IntegerType()), StructField("id", texts.schema["id"].dataType)]))
+    return found.join(numbered(passages, [q for q, _ in batch]), "query").select("query_id", "id").distinct()
+
+
+def _holders_joined(docs: DataFrame, passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A passage's words after its first (which may be the end of a document's
     word) meet the documents' runs of RUN words by a hash; what meets is then
     held against the whole passage. Passages with fewer words are held against
     every document.

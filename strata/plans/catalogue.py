@@ -161,7 +161,7 @@ def questions(spark, sf_dir):
 @query(f"WITH {BM25} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 20")
 def bm25_topk(spark, sf_dir):
     """The 20 best documents of every benchmark passage by BM25."""
-    return lexical.bm25(read(spark, sf_dir, "documents"), questions(spark, sf_dir), 20, "doc_id")
+    return lexical.bm25(spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), questions(spark, sf_dir), 20, "doc_id")
 
 
 # --- vectors and fusion ---
@@ -569,7 +569,7 @@ def meta_questions(spark, sf_dir):
 )
 def recall_at_k(spark, sf_dir):
     """Recall of the documents that passages stand in, as one batch of searches."""
-    docs, passages = read(spark, sf_dir, "documents"), questions(spark, sf_dir)
+    docs, passages = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), questions(spark, sf_dir)
     probes = evidence.holders(docs, passages).groupBy("query_id").agg(F.min("id").alias("source_id"))
     return evidence.recall(lexical.bm25(docs, passages, 20, "doc_id"), probes, 20)
 
