@@ -219,7 +219,7 @@ def rrf_fusion(spark, sf_dir):
 )
 def hybrid_topk(spark, sf_dir):
     """Hybrid search: vectors of hashed tokens and BM25, fused."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", md5_embedding(F.col("text")).alias("vector"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("vector", md5_embedding(F.col("text")))
     asked = questions(spark, sf_dir).withColumn("vector", md5_embedding(F.col("text")))
     return search.hybrid(docs, asked, 10, "doc_id")
 
