@@ -27,8 +27,8 @@ def small(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """df as it is if its rows lie evenly over at least as many partitions as there are cores, else dealt by a hash of key.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df as it is if its rows lie evenly over at least as many partitions as there are cores, else dealt by a hash of keys.
 
     For tables as they are scanned, of which only the rows are counted: a file
     written as one row group is one task, however large it is.
@@ -36,7 +36,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     held = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]  # a row a partition
     if max(held, default=0) * df.sparkSession.sparkContext.defaultParallelism <= 2 * sum(held):
         return df
-    return df.repartition(key)
+    return df.repartition(*keys)
 
 
 def kept(df: DataFrame) -> DataFrame:

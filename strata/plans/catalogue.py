@@ -318,7 +318,8 @@ PACKED = f"""
 
 def packed_chunks(spark, sf_dir, overlap):
     """Per chunk, how many units it holds and the digest of its text."""
-    chunks = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(chunking.packs(F.col("text"), 400, overlap)).alias("position", "c"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")  # identifiers may be null or repeat
+    chunks = docs.select("doc_id", F.posexplode(chunking.packs(F.col("text"), 400, overlap)).alias("position", "c"))
     return chunks.select("doc_id", "position", "c.units", F.md5("c.text").alias("digest"))
 
 
